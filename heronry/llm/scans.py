@@ -31,12 +31,12 @@ DOC_SHARE = 0.1
 EDGE_SHARE, EDGE_DOCS = 0.9, 5
 GRAM = 4
 #: A reading is wrong if another one in the same surroundings is this many times as frequent, and seen so often.
-RATIO, SEEN = 20, 10
+RATIO, SEEN = 12, 10
 #: Share of all words (or stretches) that an entry of the vocabulary has: it has at most 1 / LEAST_SHARE entries.
 LEAST_SHARE = 4e-6
 
 #: A reading with more than this share (and SEEN) of all words or stretches is not wrong.
-RARE_SHARE = 2e-6
+RARE_SHARE = {"w": 1e-5, "h": 5e-5}
 
 _HAN = "㐀-鿿"
 _NUM_CN = "零〇一二三四五六七八九十百千"
@@ -50,8 +50,8 @@ _NOTICE = re.compile(r"^(?:©|\(c\)|copyright\b)|all rights reserved|(?:for )?in
 _SIDE_NO = re.compile(r"^\d{1,4}\s{2,}(?=\S)|(?<=\S)\s{2,}\d{1,4}$")
 _HEADING = re.compile(rf"^(?:#+\s|第[{_NUM_CN}0-9]+[章节条部篇]|[{_NUM_CN}]+、|(?:chapter|section|part)\s+\d+|\d+(?:\.\d+)*[.、]?\s)", re.I)
 _TOKEN = re.compile(rf"[A-Za-z0-9†]+(?:['’][A-Za-z]+)?")
-_CODE = re.compile(r"^(?:[A-Z]{1,4}\d+[A-Z]{0,2}|\d+[A-Z]?|V\d+)$")
-_ORDINAL = re.compile(r"^\d+(?:st|nd|rd|th|x|h|s|m|g|kg|cm|mm|w|v|gb|mah|l|ml)$", re.I)
+_CODE = re.compile(r"^(?:[A-Z]{1,4}\d+[A-Z]{0,2}|\d+[A-HJ-NP-Z]?)$")
+_ORDINAL = re.compile(r"^\d+(?:st|nd|rd|th|x|h|s|m|g|kg|cm|mm|w|v|gb|mah|ml)$", re.I)
 _CUT = re.compile(r"[A-Za-z†][-‐‑]$")
 #: Characters and pairs that scanners take for each other.
 LOOKALIKE = [("l", "1"), ("i", "1"), ("l", "i"), ("i", "!"), ("l", "|"), ("o", "0"), ("s", "5"), ("g", "9"), ("q", "9"), ("b", "6"), ("b", "8"), ("z", "2"), ("e", "c"), ("h", "b"), ("t", "†"), ("f", "t"), ("n", "u"), ("a", "o"), ("v", "y"), ("w", "vv"), ("m", "rn"), ("d", "cl"), ("h", "li"), ("u", "ii"), ("n", "ri"), ("k", "lc")]
@@ -164,13 +164,13 @@ def classify(lines: list[str], first_page: bool, page: int, keys: list[tuple[str
                 break
             line = lines[i].strip()
             number, key = page_number(line), line_key(line)
-            if number is not None and not numbered and (number - page in shifts or not line.isdigit() and not shifts):
+            if number is not None and not numbered and (number - page in shifts or not line.isdigit()):
                 out[i] = "page_no"
                 numbered = True
             elif _VERSION.match(key) or len(key) < 40 and _NOTICE.search(key) and not re.search(r"[。，,;；]", key):
                 out[i] = "header"
             else:
-                hit = [p for k, p in keys if near(k, key)] if not re.search(r"[。；;，]$", key) else []
+                hit = [p for k, p in keys if near(k, key)] if not re.search(r"[。；;，]$", key) and not _HEADING.match(line) else []
                 side_no = _SIDE_NO.search(line) and not re.search(r"[。，,]", key)
                 if hit or (side_no and len(key) < 40 and any(key.startswith(k[:8]) for k, _ in keys)):
                     out[i] = "header"
@@ -333,8 +333,8 @@ class Reader:
         self.word_trie = Trie({w: n for w, n in self.words.items() if n >= SEEN and w.isalpha()})
         self.gram_trie = Trie({g: n for g, n in self.grams.items() if n >= SEEN})
         #: What is at most this frequent can be wrong.
-        self.rare_word = SEEN + RARE_SHARE * sum(self.words.values())
-        self.rare_gram = SEEN + RARE_SHARE * sum(self.grams.values())
+        self.rare_word = SEEN + RARE_SHARE["w"] * sum(self.words.values())
+        self.rare_gram = SEEN + RARE_SHARE["h"] * sum(self.grams.values())
         self._word_cache: dict[str, list] = {}
         self._gram_cache: dict[str, dict[int, list]] = {}
 
@@ -386,7 +386,8 @@ class Reader:
             for i in covering:
                 for c, n in self._swaps(text[i : i + GRAM]).get(at - i, ()):
                     if n >= RATIO * max(counts[i], 0.5):
-                        votes[c] += 1
+                        # at the edge of a heading only one stretch is known; it must say so clearly
+                        votes[c] += 2 if n >= 10 * max(SEEN, RATIO * counts[i]) else 1
             if votes:
                 c, n = min(votes.items(), key=lambda x: (-x[1], x[0]))
                 if n >= min(2, len(covering)):
@@ -429,18 +430,20 @@ class Reader:
 
 
 def scanned(pages: DataFrame) -> DataFrame:
-    """Pages of scanned documents, repeated rows once.  A document is digital if a page says so; if no page
+    """All pages, repeated rows once, with ``scan``: whether the document is scanned.  A document is digital if a page says so; if no page
     says anything, it is taken for a scan if its lines are as narrow as those of a scan."""
     width = F.array_max(F.transform(F.split("text", "\n"), lambda x: F.length(x) + F.length(F.regexp_replace(x, rf"[^{_HAN}，。、；：]", ""))))
     once = pages.select("doc_id", F.col("page_num").cast("int").alias("page_num"), "text", F.lower(F.element_at("metadata", "ocr")).alias("ocr")).where("text is not null and doc_id is not null and page_num is not null").distinct()
     says = once.groupBy("doc_id").agg(F.max((F.col("ocr") == "true").cast("int")).alias("yes"), F.max((F.col("ocr") == "false").cast("int")).alias("no"), F.max(width).alias("widest"))
-    yes = says.where("coalesce(no, 0) = 0 and (yes = 1 or widest <= 84)").select("doc_id")
-    return once.drop("ocr").join(yes, "doc_id", "left_semi")
+    scan = F.expr("coalesce(no, 0) = 0 and (yes = 1 or widest <= 84)")
+    return once.drop("ocr").join(says.select("doc_id", scan.alias("scan")), "doc_id")
 
 
-def prepared(pages: DataFrame) -> DataFrame:
-    """Scanned pages with their furniture (marked_at, marked_as) and the last running line before and the first after the page."""
-    scans = staged(scanned(pages), "scans")
+def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scanned pages with their furniture (marked_at, marked_as) and the last running line before and the first after the page.
+    The digital pages come beside them: they have none of it, and count for the vocabulary."""
+    pages = staged(scanned(pages), "pages")
+    scans, digital = pages.where("scan").drop("scan"), pages.where("not scan").drop("scan")
     first = Window.partitionBy("doc_id")
     rows = scans.withColumn("first_page", F.col("page_num") == F.min("page_num").over(first)).join(furniture(scans), "doc_id", "left")
 
@@ -457,11 +460,13 @@ def prepared(pages: DataFrame) -> DataFrame:
 
     marked = rows.mapInPandas(mark, "doc_id string, page_num int, text string, marked_at array<int>, marked_as array<string>, opens string, ends string")
     order = Window.partitionBy("doc_id").orderBy("page_num", "text")
-    return staged(marked.withColumn("before", F.lag("ends").over(order)).withColumn("after", F.lead("opens").over(order)).drop("opens", "ends"), "prepared")
+    none = F.lit(None).cast("string")
+    clean = digital.withColumns({"marked_at": F.array().cast("array<int>"), "marked_as": F.array().cast("array<string>"), "before": none, "after": none})
+    return staged(marked.withColumn("before", F.lag("ends").over(order)).withColumn("after", F.lead("opens").over(order)).drop("opens", "ends"), "prepared"), clean
 
 
 def _reader(pages: DataFrame):
-    """The bounded vocabulary as a broadcast reader."""
+    """The bounded vocabulary as a broadcast list; each worker makes its reader once."""
     entries = [(r.sort, r.entry, r.n) for r in vocabulary(pages).toLocalIterator()]
     return pages.sparkSession.sparkContext.broadcast(entries)
 
@@ -484,8 +489,8 @@ def noisy_lines(pages: DataFrame) -> DataFrame:
     rows count once; pages with one key but different texts are taken one after the other; an empty
     table gives an empty result.
     """
-    rows = prepared(pages)
-    shared = _reader(rows)
+    rows, clean = prepared(pages)
+    shared = _reader(rows.unionByName(clean))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = _of(shared)
@@ -504,8 +509,8 @@ def noisy_lines(pages: DataFrame) -> DataFrame:
 def repaired(pages: DataFrame) -> DataFrame:
     """doc_id, page_num, clean: the running text of every scanned page in paragraphs.  A word or sentence
     that goes on over the page's end is completed on the page where it begins."""
-    rows = prepared(pages)
-    shared = _reader(rows)
+    rows, clean = prepared(pages)
+    shared = _reader(rows.unionByName(clean))
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = _of(shared)
