@@ -22,6 +22,11 @@ STOP_WORDS = (
 EDGE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: an expression used inside a lambda would be evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, EDGE, "")
@@ -83,13 +88,13 @@ def tokens(c: Column) -> Column:
 
 def key_phrases(c: Column) -> Column:
     """Numbers, and all stretches of two to four letters, digits and Chinese characters of the normal form."""
-    norm = normal_form(c)
-    numbers = F.regexp_extract_all(norm, F.lit(r"[0-9]+(?:\.[0-9]+)?%?"), 0)
-    flat = F.regexp_replace(norm, r"[^\x{4e00}-\x{9fff}0-9a-z]", "")
 
-    def grams(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(flat) - (n - 1)), lambda i: F.substring(flat, i, n))
-        return F.when(F.length(flat) >= n, cut).otherwise(F.array().cast("array<string>"))
+    def phrases(norm: Column, flat: Column) -> Column:
+        def grams(n: int) -> Column:
+            cut = F.transform(F.sequence(F.lit(1), F.length(flat) - (n - 1)), lambda i: F.substring(flat, i, n))
+            return F.when(F.length(flat) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+        numbers = F.regexp_extract_all(norm, F.lit(r"[0-9]+(?:\.[0-9]+)?%?"), 0)
+        return F.array_distinct(F.concat(numbers, grams(2), grams(3), grams(4)))
 
-    grams = [grams(n) for n in (2, 3, 4)]
-    return F.array_distinct(F.concat(numbers, *grams))
+    return let(normal_form(c), lambda norm: let(F.regexp_replace(norm, r"[^\x{4e00}-\x{9fff}0-9a-z]", ""), lambda flat: phrases(norm, flat)))
