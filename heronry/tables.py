@@ -52,7 +52,8 @@ def iso_time(c: Column) -> Column:
     """ISO 8601 text in any of the layouts in use; without an offset it means UTC, whatever the session's zone."""
     text = F.trim(c)
     zoned = text.rlike(r"[Zz]$|[+-]\d{2}:?\d{2}$") & text.rlike(r"\d{2}:\d{2}")
-    return F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
+    whole = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).when(zoned, text).otherwise(F.concat(text, F.lit("Z")))
+    return whole.try_cast("timestamp")
 
 
 def ref_key(c: Column) -> Column:
