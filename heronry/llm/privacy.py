@@ -166,7 +166,8 @@ def find_candidates(text: str) -> list[tuple]:
                 tail = re.match(r"\s?(?:转|ext\.?)\s?\d+", flat[y:])
                 y2 = y + tail.end() if tail else y
                 cue = bool((_CUE_PHONE if kind == "phone" else _CUE_ID).search(flat[max(0, x - 24) : x]))
-                solid = shape in ("cn18", "plus") or (shape in ("cn11", "us10", "us334", "trunk", "s324", "s9p") and cue)
+                formed = pattern is _SPOKEN or bool(re.search(r"\d[ .-]\d", raw))
+                solid = shape in ("cn18", "plus") or (shape in ("cn11", "us10", "us334", "trunk", "s324", "s9p") and (cue or formed and shape != "s9p"))
                 taken.append((x, y2))
                 out.append((kind, x, y2, text[x:y2], solid, [f"s:{shape}" + (":spoken" if pattern is _SPOKEN else ""), *_around(flat, x, y)]))
     for m in _NAME_CN.finditer(flat):
