@@ -33,8 +33,8 @@ OWN_MAIL = "larkmoor.example"
 OWN_HOTLINE = re.compile(r"(?<!\d)400[- .]?\d{3}[- .]?\d{2,4}(?!\d)")
 
 CANDIDATES = "kind string, begin int, end int, text string, seed boolean, terms array<string>"
-#: Bits above which a candidate is disclosed, by kind.
-THRESHOLD_BITS = {"email": 0.0, "phone": 0.0, "idno": 0.0, "address": 0.0, "name": 1.0}
+#: Bits above which a candidate is disclosed, by kind; names in Latin letters are counted by themselves.
+THRESHOLD_BITS = {"email": 0.0, "phone": 0.0, "idno": 0.0, "address": 0.0, "name": 1.0, "name_latin": 0.0}
 #: No shape takes more bits than this from a candidate.
 SHAPE_BITS = 6.0
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "idno": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -42,16 +42,18 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "idno": "[ID]", "address
 _HAN_DIGITS = "零〇幺一二两三四五六七八九"
 _NUMERAL = {ord(c): d for c, d in zip(_HAN_DIGITS, "0011223456789")}
 
-_AT = r"(?:\s?@\s?|\s?[\[(<{]\s?at\s?[\])>}]\s?|\s+at\s+|\s?艾特\s?|\s?#at#\s?)"
-_DOT = r"(?:\s?[.。]\s?|\s?[\[(<{]\s?dot\s?[\])>}]\s?|\s+dot\s+|\s?点\s?)"
-_MAIL = re.compile(rf"(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9_%+-]|\.(?=[a-z0-9]))*{_AT}[a-z0-9][a-z0-9-]*(?:{_DOT}[a-z0-9-]+)*?{_DOT}[a-z]{{2,}}(?![a-z0-9])", re.I)
+_LOCAL, _LABEL = r"(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9_%+-]|\.(?=[a-z0-9]))*", r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
+_AT = r"(?:\s?@\s?|\s?[\[(<{]\s?at\s?[\])>}]\s?|\s?艾特\s?)"
+_DOT = r"(?:[.。点]|\s?[\[(<{]\s?dot\s?[\])>}]\s?|\s+dot\s+)"
+# a bare "at" is one only with a spelled "dot" after it
+_MAIL = re.compile(rf"{_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}|\s+at\s+{_LABEL}(?:\s+dot\s+{_LABEL})*\s+dot\s+)[a-z]{{2,}}(?![a-z0-9])", re.I)
 _DIGITS = re.compile(r"(?<![0-9a-zA-Z])(?:[a-zA-Z]{1,3})?(?:\(?\+\s?\d{1,3}\)?[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d(?:[ .-]?\d){6,24}[ .-]?[xX]?(?![0-9a-zA-Z])")
 _SPOKEN = re.compile(rf"[{_HAN_DIGITS}](?:[ -]?[{_HAN_DIGITS}]){{8,17}}")
 _NUMBER_CN = r"[0-9零〇一二两三四五六七八九十百千]+"
 _STREET_CN = re.compile(
     rf"(?:[一-鿿]{{2}}(?:省|自治区))?\s?(?:[一-鿿]{{2}}[市州])?\s?(?:[一-鿿]{{2}}[区县])?\s?"
     rf"(?:(?![省市区县])[一-鿿]){{1,4}}?(?:大道|东路|西路|南路|北路|东街|西街|南街|北街|路|街|巷|胡同|里弄)\s?(?:{_NUMBER_CN}\s?(?:弄|巷)\s?)?{_NUMBER_CN}\s?(?:号院|号楼|号|弄|栋|幢)"
-    rf"(?:\s?(?:{_NUMBER_CN}\s?[号栋幢座楼室层]+|[一-鿿]{{2,6}}(?=\s?\d)|{_NUMBER_CN}\s?(?:单元|号楼|弄)|\d+(?:-\d+)*(?![\d]{{6}})))*"
+    rf"(?:[ 　]?(?:{_NUMBER_CN}\s?[号栋幢座楼室层]+|[一-鿿]{{2,6}}(?=\s?\d)|{_NUMBER_CN}\s?(?:单元|号楼|弄)|\d{{1,4}}(?:-\d{{1,4}})*(?!\d)))*"
 )
 _STREET_KIND = (
     "street|st|avenue|ave|road|rd|drive|dr|court|ct|close|row|lane|ln|way|place|pl|boulevard|blvd|terrace|square|crescent|hill|parade|gardens|grove|walk|quay|alley|mews|path|circle|highway|parkway"
@@ -129,9 +131,9 @@ def find_candidates(text: str) -> list[tuple]:
     for m in _MAIL.finditer(flat):
         a, b = m.span()
         taken.append((a, b))
-        domain = re.sub(_AT, "@", m.group().lower(), count=1).partition("@")[2]
-        domain = re.sub(r"\s|[\[({<]\s?dot\s?[\])}>]", lambda x: "." if "dot" in x.group() else "", re.sub(r"\s+dot\s+", ".", domain))
-        own = domain.rstrip(".") == OWN_MAIL
+        domain = re.split(rf"{_AT}|\s+at\s+", m.group().lower())[-1]
+        domain = re.sub(r"\s+|[\[({<\])}>]", "", re.sub(_DOT, ".", domain))
+        own = domain == OWN_MAIL or domain.endswith("." + OWN_MAIL)
         out.append(("email", a, b, text[a:b], not own, ["s:own" if own else "s:mail", f"tld:{domain.rpartition('.')[2]}", *_around(flat, a, b)]))
     for m in OWN_HOTLINE.finditer(flat):
         taken.append(m.span())
@@ -190,7 +192,7 @@ def find_candidates(text: str) -> list[tuple]:
             continue
         seen.add((a, b))
         sure = bool(_NAME_CUE_EN.search(flat[max(0, a - 30) : a]))
-        out.append(("name", a, b, text[a:b], sure, ["s:latin", f"g:{m.group(1).lower()}", f"g:{m.group(2).lower()}", f"l:{_around(flat, a, b)[0][2:]}"]))
+        out.append(("name_latin", a, b, text[a:b], sure, ["s:latin", f"g:{m.group(1).lower()}", f"g:{m.group(2).lower()}", f"l:{_around(flat, a, b)[0][2:]}"]))
     return out
 
 
@@ -222,18 +224,20 @@ def scored(cands: DataFrame, rounds: int = 2) -> DataFrame:
     for _ in range(rounds):
         bits = disclosure(marked, "found")
         each = cands.select("cid", "kind", F.explode("terms").alias("term")).join(bits, ["kind", "term"])
-        # terms of one sort are averaged; a neighbour can only add bits, shapes and parts can also take some
+        # terms of one sort are averaged; a neighbour can only add bits, shapes and parts can also take some;
+        # no neighbours make a name of parts that are none
         sort = F.substring_index("term", ":", 1)
         each = each.withColumn("bits", F.when(sort.isin("l", "r"), F.greatest("bits", F.lit(0.0))).when(sort == "s", F.greatest("bits", F.lit(-SHAPE_BITS))).otherwise(F.col("bits")))
-        total = each.groupBy("cid", sort.alias("sort")).agg(F.avg("bits").alias("bits")).groupBy("cid").agg(F.sum("bits").alias("bits"))
-        marked = staged(cands.join(total, "cid").withColumn("found", F.col("bits") > limit), "scored")
-    return marked.drop("cid")
+        total = each.groupBy("cid", sort.alias("sort")).agg(F.avg("bits").alias("bits")).groupBy("cid").agg(F.sum("bits").alias("bits"), F.max(F.when(F.col("sort") == "g", F.col("bits"))).alias("parts"))
+        marked = staged(cands.join(total, "cid").withColumn("found", (F.col("bits") > limit) & (F.coalesce("parts", F.lit(1.0)) > 0)), "scored")
+    return marked.drop("cid", "parts")
 
 
 def entities(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, kind, begin, end, text, bits: the disclosed entities, the widest one where names overlap."""
     found = scored(candidates(messages, id_col, text_col)).where("found")
-    return found.select("id", "kind", "begin", "end", "text", "bits").distinct()
+    kind = F.when(F.col("kind") == "name_latin", "name").otherwise(F.col("kind"))
+    return found.select("id", kind.alias("kind"), "begin", "end", "text", "bits").distinct()
 
 
 def sanitise(messages: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
