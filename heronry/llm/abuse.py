@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rated documents and windows that the network is fitted on, at most.
+#: Rated documents and windows (in one phase) that the network is fitted on, at most.
 MAX_DOCS, MAX_WINDOWS = 6000, 6000
 WIDTH, STRIDE = 40, 20
 SIZE, HIDDEN, CHARS, WORDS = 24, 24, 1 << 13, 1 << 13
-EPOCHS, BATCH, RATE = 8, 96, 6e-3
-THRESHOLD = 0.6
+EPOCHS, BATCH, RATE = 9, 96, 6e-3
+THRESHOLD = 0.5
 
 #: Unrated documents with words of the lexicon that are taken beside the rated ones, at most.
 MAX_EXTRA = 1500
@@ -228,8 +228,9 @@ def causes(docs: list[tuple[str, float]]) -> list[tuple[list[str], list[tuple[in
     return out
 
 
-def examples(rated: list[tuple[list[str], list, bool]], seed: int, limit: int) -> tuple[list[list[str]], np.ndarray]:
-    """Windows with labels: those that hold most of a cause, shifted about; and windows without any."""
+def examples(rated: list[tuple[list[str], list, bool]], seed: int, limit: int) -> tuple[list[list[str]], list[list[str]]]:
+    """Windows that hold most of a cause, shifted about (a third of ``limit`` at most), and windows without any
+    (four times ``limit`` at most, from which the network picks)."""
     rng = np.random.default_rng(seed)
     good, bad = [], []
     for tokens, where, clean in rated:
@@ -242,31 +243,42 @@ def examples(rated: list[tuple[list[str], list, bool]], seed: int, limit: int) -
         for a, b in spans(len(tokens)) if clean else []:
             if all(b <= x or a >= y for x, y in where):
                 good.append(tokens[a:b])
-    bad = [bad[i] for i in rng.permutation(len(bad))[: limit // 2]]
-    good = [good[i] for i in rng.permutation(len(good))[: limit - len(bad)]]
-    return bad + good, np.array([1.0] * len(bad) + [0.0] * len(good), np.float32)
+    bad = [bad[i] for i in rng.permutation(len(bad))[: limit // 3]]
+    good = [good[i] for i in rng.permutation(len(good))[: 4 * limit]]
+    return bad, good
 
 
 def train(docs: list[tuple[str, float]], seed: int = 7, limit: int = MAX_WINDOWS, epochs: int = EPOCHS) -> Network:
-    """Fit on rated documents (text, share of raters who object)."""
+    """Fit on rated documents (text, share of raters who object): first with clean windows taken at random, then
+    with half of them replaced by those that the network found worst."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    windows, y = examples(causes([(plain(t), r) for t, r in docs if t and t.strip() and r != 0.5]), seed, limit)
-    if not len(y) or not y.any() or y.all():
+    bad, pool = examples(causes([(plain(t), r) for t, r in docs if t and t.strip() and r != 0.5]), seed, limit)
+    if not bad or not pool:
         net.p["bo"][:] = -20.0  # nothing to learn from: nothing is found
         net.p["wo"][:] = 0.0
         return net
-    weight = np.where(y > 0, np.minimum(8.0, (1 - y).sum() / y.sum()) ** 0.5, 1.0).astype(np.float32)
+    room = limit - len(bad)
     m, v = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}
-    step, total = 0, epochs * (len(y) // BATCH + 1)
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for k in range(0, len(order), BATCH):
-            at = order[k : k + BATCH]
+    step = 0
+    for phase, rounds in enumerate((epochs // 2, epochs - epochs // 2)):
+        good = pool[:room]
+        if phase:
+            worst = np.argsort(-np.array(Scorer(net).windows(pool)), kind="stable")[: room // 2]
+            good = [pool[i] for i in worst] + pool[: room - len(worst)]
+        windows, y = bad + good, np.array([1.0] * len(bad) + [0.0] * len(good), np.float32)
+        weight = np.where(y > 0, np.minimum(8.0, (1 - y).sum() / y.sum()) ** 0.5, 1.0).astype(np.float32)
+        total = rounds * (len(y) // BATCH + 1)
+        for k in range(total):
+            if k % (len(y) // BATCH + 1) == 0:
+                order = rng.permutation(len(y))
+            at = order[k % (len(y) // BATCH + 1) * BATCH :][:BATCH]
+            if not len(at):
+                continue
             words, chars, n_chars, mask = _arrays([_blur(windows[i], rng) for i in at])
             _, g = net.gradients(words, chars, n_chars, mask, y[at], weight[at])
             step += 1
             norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            rate = RATE * (1 - step / (total + 1)) * min(1.0, 5.0 / (norm + 1e-9) if norm > 5 else 1.0)
+            rate = RATE * (1 - (0.5 if not phase else 1.0) * k / total) * min(1.0, 5.0 / (norm + 1e-9)) * (0.6 if phase else 1.0)
             for name, x in g.items():
                 m[name] = 0.9 * m[name] + 0.1 * x
                 v[name] = 0.999 * v[name] + 0.001 * x * x
@@ -327,11 +339,22 @@ class Scorer:
             self.table = [np.concatenate([t, x @ self.net.p[f"w{d}"] + self.net.p[f"b{d}"]]).astype(np.float32) for t, d in zip(self.table, "fb")]
         return out
 
+    def windows(self, parts: list[list[str]]) -> list[float]:
+        """The score of each window of steps."""
+        best = np.zeros(len(parts))
+        for k in range(0, len(parts), 2000):
+            ids = self._tokens(parts[k : k + 2000])
+            self._worst(best[k : k + 2000], ids)
+        return best.tolist()
+
     def scores(self, texts: list[str]) -> list[float]:
         """The score of the worst window of each text; a text without any letter scores 0."""
         read = [steps(plain(t)) if t else [] for t in texts]
-        ids = self._tokens([x if any(t[0].isalpha() for t in x) else [] for x in read])
         best = np.zeros(len(texts))
+        self._worst(best, self._tokens([x if any(t[0].isalpha() for t in x) else [] for x in read]))
+        return best.tolist()
+
+    def _worst(self, best: np.ndarray, ids: list[np.ndarray]) -> None:
         windows = sorted((b - a, k, a) for k, x in enumerate(ids) for a, b in spans(len(x)))
         for c in range(0, len(windows), self.CHUNK):
             part = windows[c : c + self.CHUNK]
@@ -343,7 +366,6 @@ class Scorer:
                 mask[:length, j] = 1
             logit = self.net.forward(None, mask, projected=(self.table[0][at], self.table[1][at]))
             np.maximum.at(best, [k for _, k, _ in part], 1 / (1 + np.exp(-logit.astype(np.float64))))
-        return best.tolist()
 
 
 def ratings(labels: DataFrame, id_col: str = "doc_id", kinds: tuple[str, ...] = ("is_abusive", "is_hateful", "is_sexual")) -> DataFrame:
