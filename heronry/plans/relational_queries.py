@@ -7,13 +7,16 @@ from pyspark.sql.window import Window
 
 from heronry.tables import table
 
-PRICE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
 _PRICE = "l_extendedprice * (1 - l_discount)"
 
 
+def _price():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
 def r_price_summary(spark, d):
     rows = table(spark, d, "lineitem").where("l_shipdate <= timestamp '1998-09-02'")
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(PRICE), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"), F.count("*").alias("n"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(_price()), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"), F.count("*").alias("n"))
 
 
 def r_revenue_forecast(spark, d):
@@ -25,7 +28,7 @@ def r_nation_revenue(spark, d):
     t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "nation", "region")}
     rows = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.rollup("r_name", "n_name").agg(F.round(F.sum(PRICE), 2).alias("revenue"), F.count("*").alias("n"))
+    return rows.rollup("r_name", "n_name").agg(F.round(F.sum(_price()), 2).alias("revenue"), F.count("*").alias("n"))
 
 
 def r_large_orders(spark, d):

@@ -27,3 +27,12 @@ def test_same_rows_as_sql(spark, name):
     a = sorted(str([norm(r[c]) for c in cols]) for r in got.collect())
     b = sorted(str([norm(r[want.columns.index(c)]) for c in cols]) for r in want.fetchall())
     assert a == b
+
+
+def test_registry_needs_no_session():
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=here, capture_output=True, text=True, check=True).stdout.split()[-1]) > 20
