@@ -49,6 +49,8 @@ _VERSION = re.compile(r"^(?:v|ver\.?|version|rev\.?|版本)\s*\d+(?:\.\d+)*(?:\s
 _NOTICE = re.compile(r"^(?:©|\(c\)|copyright\b)|all rights reserved|(?:for )?internal use only|confidential|内部资料|请勿外传|版权所有", re.I)
 _SIDE_NO = re.compile(r"^\d{1,4}\s{2,}(?=\S)|(?<=\S)\s{2,}\d{1,4}$")
 _HEADING = re.compile(rf"^(?:#+\s|第[{_NUM_CN}0-9]+[章节条部篇]|[{_NUM_CN}]+、|(?:chapter|section|part)\s+\d+|\d+(?:\.\d+)*[.、]?\s)", re.I)
+#: A line that starts a paragraph of its own: a heading or an item of a list.
+_STARTS = re.compile(rf"^(?:#+\s|第[{_NUM_CN}0-9]+[章节条部篇]|[{_NUM_CN}]+、|(?:chapter|section|part)\s+\d+|\d{{1,3}}(?:\.\d+)*[.、]\s)", re.I)
 _TOKEN = re.compile(rf"[A-Za-z0-9†]+(?:['’][A-Za-z]+)?")
 _CODE = re.compile(r"^(?:[A-Z]{1,4}\d+[A-Z]{0,2}|\d+[A-HJ-NP-Z]?)$")
 _ORDINAL = re.compile(r"^\d+(?:st|nd|rd|th|x|h|s|m|g|kg|cm|mm|w|v|gb|mah|ml)$", re.I)
@@ -550,7 +552,7 @@ def reflow(lines: list[str], marked: dict[int, str], stream: Stream, reader: Rea
             continue
         part += text
         ends = bool(re.search(r"[。！？.!?:：]$", text)) and len(lines[i].strip()) < 0.9 * wide
-        if _HEADING.match(text) and len(text) < 0.6 * wide or ends or (k + 1 < len(body) and body[k + 1] > i + 1 and re.search(r"[。！？.!?]$", text)):
+        if _HEADING.match(text) and len(text) < 0.6 * wide or ends or _STARTS.match(following.strip()) or (k + 1 < len(body) and body[k + 1] > i + 1 and re.search(r"[。！？.!?]$", text)):
             out.append(part)
             part = ""
         elif re.search(r"[A-Za-z0-9,;.)]$", text) and re.match(r"\s*[A-Za-z0-9(]", following):
