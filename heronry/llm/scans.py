@@ -441,13 +441,14 @@ def scanned(pages: DataFrame) -> DataFrame:
     return once.drop("ocr").join(says.select("doc_id", scan.alias("scan")), "doc_id")
 
 
-def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scanned pages with their furniture (marked_at, marked_as) and the last running line before and the first after the page.
-    The digital pages come beside them: they have none of it, and count for the vocabulary."""
+    The digital pages come beside them: they have none of it, and count for the vocabulary; then the furniture of each document."""
     pages = staged(scanned(pages), "pages")
     scans, digital = pages.where("scan").drop("scan"), pages.where("not scan").drop("scan")
     first = Window.partitionBy("doc_id")
-    rows = scans.withColumn("first_page", F.col("page_num") == F.min("page_num").over(first)).join(furniture(scans), "doc_id", "left")
+    kept = staged(furniture(scans), "furniture")
+    rows = scans.withColumn("first_page", F.col("page_num") == F.min("page_num").over(first)).join(kept, "doc_id", "left")
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -464,7 +465,7 @@ def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("doc_id").orderBy("page_num", "text")
     none = F.lit(None).cast("string")
     clean = digital.withColumns({"marked_at": F.array().cast("array<int>"), "marked_as": F.array().cast("array<string>"), "before": none, "after": none})
-    return staged(marked.withColumn("before", F.lag("ends").over(order)).withColumn("after", F.lead("opens").over(order)).drop("opens", "ends"), "prepared"), clean
+    return staged(marked.withColumn("before", F.lag("ends").over(order)).withColumn("after", F.lead("opens").over(order)).drop("opens", "ends"), "prepared"), clean, kept
 
 
 def _reader(pages: DataFrame):
@@ -491,7 +492,7 @@ def noisy_lines(pages: DataFrame) -> DataFrame:
     rows count once; pages with one key but different texts are taken one after the other; an empty
     table gives an empty result.
     """
-    rows, clean = prepared(pages)
+    rows, clean, _ = prepared(pages)
     shared = _reader(rows.unionByName(clean))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -511,7 +512,7 @@ def noisy_lines(pages: DataFrame) -> DataFrame:
 def repaired(pages: DataFrame) -> DataFrame:
     """doc_id, page_num, clean: the running text of every scanned page in paragraphs.  A word or sentence
     that goes on over the page's end is completed on the page where it begins."""
-    rows, clean = prepared(pages)
+    rows, clean, _ = prepared(pages)
     shared = _reader(rows.unionByName(clean))
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -525,6 +526,131 @@ def repaired(pages: DataFrame) -> DataFrame:
     return rows.mapInPandas(repair, "doc_id string, page_num int, clean string")
 
 
+def split_known(raw: str, known: list[tuple[int, str]], keys: list[str], shifts: set[int]) -> list[tuple[int, str, bool]]:
+    """(page, text, whether the page is known) of a whole document.  Its text follows the known pages as far
+    as it is the same; behind that a page break lies in every run of lines that look like furniture."""
+    raw = re.sub(r"\r\n?", "\n", raw)
+    out: list[tuple[int, str, bool]] = []
+    rest: str | None = raw
+    for page, text in known:
+        text = re.sub(r"\r\n?", "\n", text)
+        if rest.startswith(text + "\n"):
+            out.append((page, text, True))
+            rest = rest[len(text) + 1 :]
+        else:
+            if text.startswith(rest):
+                out.append((page, rest, True))
+                rest = None
+            break
+    if not rest:
+        return out
+    page = out[-1][0] + 1 if out else 1
+    part: list[str] = []
+
+    def furniture_like(line: str) -> bool:
+        number, key = page_number(line), line_key(line)
+        if number is not None:
+            return not line.strip().isdigit() or bool({number - page, number - page - 1} & shifts)
+        return bool(_VERSION.match(key) or len(key) < 40 and _NOTICE.search(key) and not re.search(r"[。，,;；]", key) or any(near(k, key) for k in keys))
+
+    lines = rest.replace("\f", "\n").split("\n")
+    i = 0
+    while i < len(lines):
+        if not lines[i].strip() or not furniture_like(lines[i]):
+            part.append(lines[i])
+            i += 1
+            continue
+        run = [i]
+        for j in range(i + 1, len(lines)):
+            if lines[j].strip():
+                if not furniture_like(lines[j]):
+                    break
+                run.append(j)
+        end = run[-1] + 1
+        if any(x.strip() for x in part) and any(x.strip() for x in lines[end:]):
+            # a number says whether it is the foot of this page or the head of the next; else what is too much for the head goes to the foot
+            at = run[max(0, len(run) - ZONE)]
+            for j in run:
+                number = page_number(lines[j])
+                if number is not None and number - page in shifts:
+                    at = j + 1
+                elif number is not None and number - page - 1 in shifts:
+                    at = min(at, j)
+            out.append((page, "\n".join(part + lines[i:at]), False))
+            page, part = page + 1, lines[at:end]
+        else:
+            part += lines[i:end]
+        i = end
+    return [*out, (page, "\n".join(part), False)]
+
+
+def repaired_documents(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, doc_version, clean: the running text of every version of every scanned document in paragraphs, also over the ends of pages.
+
+    Null and blank texts give no row, repeated rows one.  Pages, furniture and vocabulary come from ``pages`` (the newest version);
+    what an outdated version has beyond them is split by its own furniture, and counts for the vocabulary as well.  A document
+    without pages is a scan if it is a PDF or a picture and its lines are narrow.
+    """
+    rows, clean, kept = prepared(pages)
+    says = scanned(pages).select("doc_id", "scan").distinct()
+    known = pages.where("doc_id is not null and page_num is not null").select("doc_id", F.struct(F.col("page_num").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text")).alias("p")).distinct()
+    known = known.groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("known"))
+    whole = docs.where("doc_id is not null and trim(raw_text) <> ''").select("doc_id", F.col("doc_version").cast("int").alias("doc_version"), "file_type", "raw_text").distinct()
+    lone = F.lower("file_type").isin("pdf", "jpg", "jpeg", "png", "tif", "tiff", "bmp") & (F.array_max(F.transform(F.split("raw_text", "\r\n?|\n"), lambda x: F.length(x) + F.length(F.regexp_replace(x, rf"[^{_HAN}，。、；：]", "")))) <= 84)
+    whole = whole.join(says, "doc_id", "left").where(F.coalesce("scan", lone)).drop("scan", "file_type").distinct()
+    whole = whole.join(known, "doc_id", "left").join(kept, "doc_id", "left").withColumn("text_key", F.concat_ws(":", "doc_id", "doc_version", F.xxhash64("raw_text")))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                parts = split_known(r.raw_text, [(p["page"], p["text"]) for p in r.known] if r.known is not None else [], [k["key"] for k in r.keys] if r.keys is not None else [], {int(x) for x in r.shifts} if r.shifts is not None else set())
+                out += [(r.text_key, r.doc_id, r.doc_version, k, page, text, known) for k, (page, text, known) in enumerate(parts)]
+            frame = pd.DataFrame(out, columns=["text_key", "doc_id", "doc_version", "k", "page_num", "text", "known"])
+            yield frame.astype({"doc_version": "Int32"})
+
+    parts = staged(whole.mapInPandas(split, "text_key string, doc_id string, doc_version int, k int, page_num int, text string, known boolean"), "parts")
+    strange = parts.where("not known").select("text_key").distinct()
+    own = furniture(parts.join(strange, "text_key").select(F.col("text_key").alias("doc_id"), "page_num", "text"))
+    own = own.select(F.col("doc_id").alias("text_key"), F.col("keys").alias("own_keys"), F.col("shifts").alias("own_shifts"))
+    texts = parts.groupBy("text_key", "doc_id", "doc_version").agg(F.sort_array(F.collect_list(F.struct("k", "page_num", "text", "known"))).alias("parts")).join(kept, "doc_id", "left").join(own, "text_key", "left")
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                keys = [(k["key"], k["publisher"]) for some in (r.keys, r.own_keys) if some is not None for k in some]
+                shifts = {int(x) for some in (r.shifts, r.own_shifts) if some is not None for x in some}
+                text, rest = [], []
+                first = min(p["page_num"] for p in r.parts)
+                for p in r.parts:
+                    lines = p["text"].split("\n")
+                    marked = classify(lines, p["page_num"] == first, p["page_num"], keys, shifts)
+                    left = [x for i, x in enumerate(lines) if i not in marked]
+                    text += left
+                    rest += [] if p["known"] else left
+                out.append((r.doc_id, r.doc_version, "\n".join(text), "\n".join(rest)))
+            yield pd.DataFrame(out, columns=["doc_id", "doc_version", "text", "rest"]).astype({"doc_version": "Int32"})
+
+    bodies = staged(texts.mapInPandas(body, "doc_id string, doc_version int, text string, rest string"), "bodies")
+    none = F.lit(None).cast("string")
+    more = bodies.where("rest <> ''").select("doc_id", F.lit(0).alias("page_num"), F.col("rest").alias("text")).distinct()
+    more = more.withColumns({"marked_at": F.array().cast("array<int>"), "marked_as": F.array().cast("array<string>"), "before": none, "after": none})
+    shared = _reader(rows.unionByName(clean).unionByName(more))
+
+    def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = _of(shared)
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                lines = r.text.split("\n")
+                out.append((r.doc_id, r.doc_version, reflow(lines, {}, Stream(lines, {}, "", ""), reader, "", "")))
+            yield pd.DataFrame(out, columns=["doc_id", "doc_version", "clean"]).astype({"doc_version": "Int32"})
+
+    # long documents take longest: they are dealt out over all tasks
+    return bodies.drop("rest").repartition(F.col("doc_id"), F.col("doc_version")).mapInPandas(repair, "doc_id string, doc_version int, clean string")
+
+
 def reflow(lines: list[str], marked: dict[int, str], stream: Stream, reader: Reader, before: str, after: str) -> str:
     words, han = reader.wrong(stream)
     body = running(lines, marked)
@@ -535,7 +661,7 @@ def reflow(lines: list[str], marked: dict[int, str], stream: Stream, reader: Rea
             if line == i and text.count(wrong) == 1:
                 text = text.replace(wrong, right)
         fixed[i] = re.sub(r"[ \t]+", " ", text.strip())
-    swaps = [pair for i in body for pair in words.get(i, [])]
+    swaps = list(dict.fromkeys(pair for i in body for pair in words.get(i, [])))
     wide = max((len(lines[i].strip()) for i in body), default=0)
     out, part = [], ""
     if body and joins_next(before, lines[body[0]]):

@@ -1,6 +1,6 @@
 import random
 
-from heronry.llm.scans import Trie, classify, joins_next, near, noisy_lines, page_number, repaired
+from heronry.llm.scans import Trie, classify, joins_next, near, noisy_lines, page_number, repaired, repaired_documents, split_known
 
 BODY = ["价格保护以下单时的成交价为准，差额折成积分。", "电子发票在确认收货后由会员组开具，会发送到邮箱。", "同一账号重复申请换货超过次数，会进入人工抽检。", "Reward points are restored after an exchange is completed and vouchers keep their validity."]
 
@@ -34,6 +34,28 @@ def test_repair(spark):
     assert "内部资料" not in clean and "值班手册" not in clean
 
 
+def test_repair_of_every_version(spark):
+    rows = pages(spark)
+    texts = {p: t for p, t in rows.where("doc_id = 'doc0'").select("page_num", "text").distinct().collect()}
+    whole = "\n".join(texts[p] for p in sorted(texts))
+    old = whole[: whole.index("responsible party")]
+    docs = [("doc0", 2, whole, "pdf"), ("doc0", 2, whole, "pdf"), ("doc0", 1, old, "pdf"), ("doc0", 0, None, "pdf"), ("digital", 1, "值班手册\nself-\nservice", "pdf"), ("none", 1, " ", "pdf")]
+    got = repaired_documents(spark.createDataFrame(docs, "doc_id string, doc_version int, raw_text string, file_type string"), rows).collect()
+    assert sorted((r.doc_id, r.doc_version) for r in got) == [("doc0", 1), ("doc0", 2)]
+    for r in got:
+        assert "下单时" in r.clean and "points are restored after an exchange is completed and vouchers" in r.clean and "p0ints" not in r.clean
+        assert "内部资料" not in r.clean and r.clean.count("值班手册") == 1 and "- 3 -" not in r.clean
+    assert repaired_documents(spark.createDataFrame([], "doc_id string, doc_version int, raw_text string, file_type string"), rows).count() == 0
+
+
+def test_pages_of_a_whole_text():
+    known = [(1, "a\nb"), (2, ""), (3, "c\nd")]
+    assert split_known("a\r\nb\n\nc\nd", known, [], set()) == [(1, "a\nb", True), (2, "", True), (3, "c\nd", True)]
+    assert split_known("a\nb\n\nc", known, [], set()) == [(1, "a\nb", True), (2, "", True), (3, "c", True)]
+    assert split_known("a\nb\n\nm\n- 3 -\ntitle\ny", known, ["title"], {0}) == [*[(1, "a\nb", True), (2, "", True)], (3, "m\n- 3 -", False), (4, "title\ny", False)]
+    assert "\n".join(t for _, t, _ in split_known("m\nPage 1\ny\nPage 2\nz", [], [], set())) == "m\nPage 1\ny\nPage 2\nz"
+
+
 def test_empty(spark):
     assert noisy_lines(pages(spark).limit(0)).count() == 0
 
