@@ -249,7 +249,7 @@ class Stream:
 
     def __init__(self, lines: list[str], marked: dict[int, str], before: str, after: str):
         self.words: list[tuple[str, list[int]]] = []  # a token and the line of each of its characters
-        self.han: list[tuple[str, int]] = []
+        self.han: list[tuple[str, int, int]] = []  # a character, its line and its place in the line
         self.cuts: list[int] = []
         body = [(-1, before)] * bool(before) + [(i, lines[i]) for i in running(lines, marked)] + [(-2, after)] * bool(after)
         carry: tuple[str, list[int]] | None = None
@@ -270,12 +270,23 @@ class Stream:
                     carry = None if m.start() == 0 or carry is None else carry
             if not cut:
                 carry = None
-            flat = re.sub(rf"[{_NUM_CN}两]+|[0-9][0-9.,:]*", "9", re.sub(r"[A-Za-z†][A-Za-z0-9†-]*", "A", re.sub(r"\s+", "", text)))
-            self.han += [(c, at) for c in flat]
+            self.han += [(c, at, place) for c, place in _flat(line)]
+
+
+def _flat(line: str) -> list[tuple[str, int]]:
+    """The line without white space, a word of letters as A and a number as 9; each character with its place in the line."""
+    flat = [(c, i) for i, c in enumerate(line) if not c.isspace()]
+    for pattern, sign in ((r"[A-Za-z†][A-Za-z0-9†-]*", "A"), (rf"[{_NUM_CN}两]+|[0-9][0-9.,:]*", "9")):
+        out, end = [], 0
+        for m in re.finditer(pattern, "".join(c for c, _ in flat)):
+            out += [*flat[end : m.start()], (sign, flat[m.start()][1])]
+            end = m.end()
+        flat = out + flat[end:]
+    return flat
 
 
 def _han_grams(stream: Stream) -> Iterator[str]:
-    text = "".join(c for c, _ in stream.han)
+    text = "".join(c for c, _, _ in stream.han)
     for i in range(len(text) - GRAM + 1):
         gram = text[i : i + GRAM]
         if sum("㐀" <= c <= "鿿" for c in gram) >= 2:
@@ -411,7 +422,7 @@ class Reader:
         return out
 
     def wrong(self, stream: Stream) -> tuple[dict[int, list[tuple[str, str]]], list[tuple[int, int, str, str]]]:
-        """Lines with wrong tokens, and wrong Chinese characters as (line, nth of the line's stream, wrong, right)."""
+        """Lines with wrong tokens, and wrong Chinese characters as (line, place in it, wrong, right)."""
         words: dict[int, list[tuple[str, str]]] = {}
         low = [w.casefold() for w, _ in stream.words]
         for i, (token, at) in enumerate(stream.words):
@@ -420,11 +431,8 @@ class Reader:
                 k = next((k for k in range(min(len(token), len(right))) if token[k].casefold() != right[k]), 0)
                 line = at[k] if at[k] >= 0 else next(x for x in at if x >= 0)
                 words.setdefault(line, []).append((token, right))
-        text = "".join(c for c, _ in stream.han)
-        first: dict[int, int] = {}
-        for k, (_, line) in enumerate(stream.han):
-            first.setdefault(line, k)
-        han = [(stream.han[p][1], p - first[stream.han[p][1]], text[p], c) for p, c in self.han(text) if stream.han[p][1] >= 0]
+        text = "".join(c for c, _, _ in stream.han)
+        han = [(stream.han[p][1], stream.han[p][2], text[p], c) for p, c in self.han(text) if stream.han[p][1] >= 0]
         return words, han
 
 
@@ -655,11 +663,11 @@ def reflow(lines: list[str], marked: dict[int, str], stream: Stream, reader: Rea
     words, han = reader.wrong(stream)
     body = running(lines, marked)
     fixed: dict[int, str] = {}
+    swapped: dict[int, dict[int, str]] = {}
+    for line, place, _, right in han:
+        swapped.setdefault(line, {})[place] = right
     for i in body:
-        text = lines[i]
-        for line, nth, wrong, right in han:
-            if line == i and text.count(wrong) == 1:
-                text = text.replace(wrong, right)
+        text = "".join(swapped[i].get(k, c) for k, c in enumerate(lines[i])) if i in swapped else lines[i]
         fixed[i] = re.sub(r"[ \t]+", " ", text.strip())
     swaps = list(dict.fromkeys(pair for i in body for pair in words.get(i, [])))
     wide = max((len(lines[i].strip()) for i in body), default=0)

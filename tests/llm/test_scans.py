@@ -1,6 +1,6 @@
 import random
 
-from heronry.llm.scans import Trie, classify, joins_next, near, noisy_lines, page_number, repaired, repaired_documents, split_known
+from heronry.llm.scans import Reader, Stream, Trie, classify, joins_next, near, noisy_lines, page_number, reflow, repaired, repaired_documents, split_known
 
 BODY = ["价格保护以下单时的成交价为准，差额折成积分。", "电子发票在确认收货后由会员组开具，会发送到邮箱。", "同一账号重复申请换货超过次数，会进入人工抽检。", "Reward points are restored after an exchange is completed and vouchers keep their validity."]
 
@@ -34,6 +34,12 @@ def test_repair(spark):
     assert "内部资料" not in clean and "值班手册" not in clean
 
 
+def test_misread_characters_are_replaced_at_their_place():
+    line = "　　草稿 12 份，以下草时的成交价为准，以下草时 LG-5 的差额"
+    reader = Reader([("h", g, 900) for g in ("以下单时", "下单时的", "单时的成", "，以下单", "下单时A", "单时A的")])
+    assert reflow([line], {}, Stream([line], {}, "", ""), reader, "", "") == "草稿 12 份，以下单时的成交价为准，以下单时 LG-5 的差额"
+
+
 def test_repair_of_every_version(spark):
     rows = pages(spark)
     texts = {p: t for p, t in rows.where("doc_id = 'doc0'").select("page_num", "text").distinct().collect()}
