@@ -35,8 +35,8 @@ RATIO, SEEN = 12, 10
 #: Share of all words (or stretches) that an entry of the vocabulary has: it has at most 1 / LEAST_SHARE entries.
 LEAST_SHARE = 4e-6
 
-#: A reading with more than this share (and SEEN) of all words or stretches is not wrong.
-RARE_SHARE = {"w": 1e-5, "h": 5e-5}
+#: A stretch of Chinese with more than this share (and SEEN) of all stretches is not wrong.  Words have no such limit: only RATIO and the surroundings decide.
+RARE_SHARE = 5e-5
 
 _HAN = "㐀-鿿"
 _NUM_CN = "零〇一二三四五六七八九十百千"
@@ -345,9 +345,9 @@ class Reader:
         self.words, self.pairs, self.grams = sorts["w"], sorts["b"], sorts["h"]
         self.word_trie = Trie({w: n for w, n in self.words.items() if n >= SEEN and w.isalpha()})
         self.gram_trie = Trie({g: n for g, n in self.grams.items() if n >= SEEN})
+        self.most_word = max(self.words.values(), default=0)
         #: What is at most this frequent can be wrong.
-        self.rare_word = SEEN + RARE_SHARE["w"] * sum(self.words.values())
-        self.rare_gram = SEEN + RARE_SHARE["h"] * sum(self.grams.values())
+        self.rare_gram = SEEN + RARE_SHARE * sum(self.grams.values())
         self._word_cache: dict[str, list] = {}
         self._gram_cache: dict[str, dict[int, list]] = {}
 
@@ -364,8 +364,8 @@ class Reader:
             return None
         low = token.casefold()
         own = self.words.get(low, 0)
-        if own > self.rare_word:
-            return None
+        if RATIO * own > self.most_word:
+            return None  # no word is so much more frequent
         if low not in self._word_cache:
             if len(self._word_cache) > 200_000:
                 self._word_cache.clear()

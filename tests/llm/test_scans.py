@@ -34,6 +34,14 @@ def test_repair(spark):
     assert "内部资料" not in clean and "值班手册" not in clean
 
 
+def test_frequent_misreadings_are_found_at_any_size():
+    for times in (1, 10, 1000):
+        entries = [("w", "hours", 2500), ("w", "bours", 6), ("w", "yours", 600), ("w", "of", 300_000), ("b", "48 hours", 900), ("b", "hours of", 900), ("b", "is yours", 300), ("b", "48 bours", 3)]
+        reader = Reader([(sort, entry, n * times) for sort, entry, n in entries])
+        assert reader.word("bours", "48", "of") == "hours"
+        assert reader.word("yours", "is", "of") is None and reader.word("hours", "48", "of") is None
+
+
 def test_misread_characters_are_replaced_at_their_place():
     line = "　　草稿 12 份，以下草时的成交价为准，以下草时 LG-5 的差额"
     reader = Reader([("h", g, 900) for g in ("以下单时", "下单时的", "单时的成", "，以下单", "下单时A", "单时A的")])
