@@ -1,6 +1,6 @@
 import random
 
-from heronry.llm.leakage import Automaton, Searcher, approximate, blocks, leaks, normalise
+from heronry.llm.leakage import Automaton, Searcher, approximate, blocks, leaks, located, normalise, stretches, take_out, without_leaks
 
 ZH = "复核坐席发现登记表与莲塘验收点的实收数量相差超过四十件时接下来该走哪一步才算符合规定呢"
 EN = "Holders of voucher may ask the second line supervisors to fill in the sheet which is stamped before half past eight on the same day in the main office"
@@ -72,3 +72,36 @@ def test_job(spark):
 def test_blocks_hold_all():
     items = [(str(i), "x" * 30) for i in range(10)]
     assert sum(blocks(items, 100), []) == items and max(map(len, blocks(items, 100))) == 3
+
+
+def test_longest_run_and_its_span():
+    s = Searcher([("zh", ZH), ("part", ZH[:30]), ("en", EN)])
+    assert s.leaks("前文。" + ZH + "后文") == {("zh", "run", len(ZH)), ("part", "run", 30)}
+    text = "前文，<b>" + ZH[:20] + " Ａ" + ZH[20:] + "</b>后文"
+    assert {(c, h, text[a:b]) for c, h, a, b, _, _ in s.spans("头" + ZH + "尾") if c == "zh" and h == "run" for text in ["头" + ZH + "尾"]} == {("zh", "run", ZH)}
+    near = [x for x in s.spans(text) if x[:2] == ("zh", "approximate")]
+    assert [text[a:b] for _, _, a, b, _, _ in near] == [text[6:-6]] and near[0][5] == round(1 - 1 / len(ZH), 4)
+    words = EN.split()
+    words[4] = "changed"
+    text = "Question: " + " ".join(words) + " or not"
+    assert [text[a:b] for c, h, a, b, _, _ in s.spans(text) if h == "approximate"] == [" ".join(words)]
+    assert s.spans("nothing") == [] and take_out("abcdef", [(1, 3), (2, 4), (2, 3)]) == "aef"
+
+
+def test_places_of_letters():
+    text = "Ａ​b-Ｃ <i>１２</i>&nbsp;退 货 [x](http://a) ﬁe\u0301ß ｶﾞ _"
+    flat, starts, places = located(text)
+    assert (flat, starts) == normalise(text) and len(places) == len(flat)
+    assert text[slice(*places[flat.index("退")])] == "退" and text[slice(*places[flat.index("f")])] == text[slice(*places[flat.index("i", 5)])] == "ﬁ"
+
+
+def test_stretches():
+    assert stretches(list("abcdefghij"), list("xxabcdXfghijyyabcdefghijz"), 1) == [(2, 12, 1), (14, 24, 0)]
+    assert stretches(list("abcdefghij"), list("zz"), 1) == []
+
+
+def test_job_without_leaks(spark):
+    docs = spark.createDataFrame([(1, "前，" + ZH + "。后"), (2, "短"), (3, None), (None, ZH)], "doc_id long, text string")
+    items = spark.createDataFrame([("zh", ZH, None), ("no", None, "")], "case_id string, question string, answer string")
+    got = {r.id: (r.text, [(s.case_id, s.start, s.end) for s in r.spans if s.how == "run"]) for r in without_leaks(docs, "doc_id", "text", items, "case_id", ["question", "answer"]).collect()}
+    assert got == {1: ("前，。后", [("zh", 2, 2 + len(ZH))]), 2: ("短", []), 3: (None, []), None: ("", [("zh", 0, len(ZH))])}
