@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
-def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
-    """A parquet folder (or file) as a stream; TIMESTAMP_NTZ columns become TIMESTAMP, as watermarks need it."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def source(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet folder (or file) as a stream; TIMESTAMP_NTZ columns become TIMESTAMP, as watermarks need it.
+    All files that are there make one batch: were they dealt out over several, the watermark of the first ones
+    would drop what the others have from before, and the result would depend on the number of files."""
+    reader = spark.readStream.schema(schema)
+    rows = (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
     ntz = [f.name for f in rows.schema if f.dataType.typeName() == "timestamp_ntz"]
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else rows
 
