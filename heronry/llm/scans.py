@@ -655,8 +655,9 @@ def repaired_documents(docs: DataFrame, pages: DataFrame) -> DataFrame:
                 out.append((r.doc_id, r.doc_version, reflow(lines, {}, Stream(lines, {}, "", ""), reader, "", "")))
             yield pd.DataFrame(out, columns=["doc_id", "doc_version", "clean"]).astype({"doc_version": "Int32"})
 
-    # long documents take longest: they are dealt out over all tasks
-    return bodies.drop("rest").repartition(F.col("doc_id"), F.col("doc_version")).mapInPandas(repair, "doc_id string, doc_version int, clean string")
+    # few bytes, long work: a stated number keeps the documents from being put together into one task
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bodies.drop("rest").repartition(n, "doc_id", "doc_version").mapInPandas(repair, "doc_id string, doc_version int, clean string")
 
 
 def reflow(lines: list[str], marked: dict[int, str], stream: Stream, reader: Reader, before: str, after: str) -> str:
