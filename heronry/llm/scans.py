@@ -3,10 +3,12 @@
 1. Page furniture: the lines at the head and foot of a page are counted per document and over the
    corpus, and against the lines inside the text; what comes again at the edges is furniture.
 2. Vocabulary: words, neighbours and stretches of characters of all running text are counted; what
-   is frequent enough goes into a trie.
-3. Wrong characters: a rare word is run as a Levenshtein automaton over the trie, which gives every
+   is frequent goes into tries, in blocks.
+3. Wrong characters: a word is run as a Levenshtein automaton over the trie, which gives every
    word of the vocabulary within the distance; the neighbours rank them.  Chinese text has no
-   words, so there every stretch of GRAM characters is a word.
+   words, so there every stretch of GRAM characters is a word.  What the scanner takes for each
+   other is learned from the corpus: edits that many unrelated words ask for and that no digital
+   page has.  Every distinct word with its neighbours and every distinct stretch is judged once.
 4. Repair: furniture is removed, cut words are joined, misread ones replaced, lines reflowed.
 """
 
@@ -27,16 +29,19 @@ from heronry.tables import staged
 ZONE = 3
 #: A line is furniture of its document if it comes again on this share of the pages, and on two at least.
 DOC_SHARE = 0.1
+#: Share of its places in the document that must be at the edges; a sentence that comes again and again is no furniture.
+DOC_EDGE = 0.75
 #: A line or first word is furniture of the corpus if this share of its places is at the edges, in this many documents.
 EDGE_SHARE, EDGE_DOCS = 0.9, 5
 GRAM = 4
 #: A reading is wrong if another one in the same surroundings is this many times as frequent, and seen so often.
 RATIO, SEEN = 12, 10
-#: Share of all words (or stretches) that an entry of the vocabulary has: it has at most 1 / LEAST_SHARE entries.
-LEAST_SHARE = 4e-6
-
-#: A stretch of Chinese with more than this share (and SEEN) of all stretches is not wrong.  Words have no such limit: only RATIO and the surroundings decide.
-RARE_SHARE = 5e-5
+#: The scanner takes two characters for each other if so many entries say it and at most one in CASES_EACH of them is genuine.
+CASES, CASES_EACH = 8, 20
+#: Fewer cases need a candidate this many times as frequent.
+WEAK_RATIO = 40
+#: Entries of the trie in one task.
+BLOCK = 50_000
 
 _HAN = "㐀-鿿"
 _NUM_CN = "零〇一二三四五六七八九十百千"
@@ -52,8 +57,6 @@ _HEADING = re.compile(rf"^(?:#+\s|第[{_NUM_CN}0-9]+[章节条部篇]|[{_NUM_CN}
 #: A line that starts a paragraph of its own: a heading or an item of a list.
 _STARTS = re.compile(rf"^(?:#+\s|第[{_NUM_CN}0-9]+[章节条部篇]|[{_NUM_CN}]+、|(?:chapter|section|part)\s+\d+|\d{{1,3}}(?:\.\d+)*[.、]\s)", re.I)
 _TOKEN = re.compile(rf"[A-Za-z0-9†]+(?:['’][A-Za-z]+)?")
-_CODE = re.compile(r"^(?:[A-Z]{1,4}\d+[A-Z]{0,2}|\d+[A-HJ-NP-Z]?)$")
-_ORDINAL = re.compile(r"^\d+(?:st|nd|rd|th|x|h|s|m|g|kg|cm|mm|w|v|gb|mah|ml)$", re.I)
 _CUT = re.compile(r"[A-Za-z†][-‐‑]$")
 #: Characters and pairs that scanners take for each other.
 LOOKALIKE = [("l", "1"), ("i", "1"), ("l", "i"), ("i", "!"), ("l", "|"), ("o", "0"), ("s", "5"), ("g", "9"), ("q", "9"), ("b", "6"), ("b", "8"), ("z", "2"), ("e", "c"), ("h", "b"), ("t", "†"), ("f", "t"), ("n", "u"), ("a", "o"), ("v", "y"), ("w", "vv"), ("m", "rn"), ("d", "cl"), ("h", "li"), ("u", "ii"), ("n", "ri"), ("k", "lc")]
@@ -103,7 +106,7 @@ def _line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             edge = {*head, *foot}
             for i, line in enumerate(lines):
                 key = line_key(line)
-                if not key or len(key) > 60:
+                if not key:
                     continue
                 number = page_number(line) if i in edge else None
                 rows.append((doc, page, i in edge, key if number is None else "", key.split(" ")[0] if " " in key else "", None if number is None else number - page))
@@ -116,7 +119,8 @@ def furniture(pages: DataFrame) -> DataFrame:
     DOC_SHARE of the pages, and a page has 2 * ZONE places."""
     lines = staged(pages.mapInPandas(_line_rows, "doc_id string, page_num int, edge boolean, key string, word string, shift int"), "lines")
     n_pages = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
-    in_doc = lines.where("edge and (key <> '' or shift is not null)").groupBy("doc_id", "key", "word", "shift").agg(F.countDistinct("page_num").alias("on"))
+    in_doc = lines.where("key <> '' or shift is not null").groupBy("doc_id", "key", "word", "shift").agg(F.countDistinct(F.when(F.col("edge"), F.col("page_num"))).alias("on"), F.avg(F.col("edge").cast("int")).alias("at_edge"))
+    in_doc = in_doc.where(f"on > 0 and at_edge >= {DOC_EDGE}")
     by_key = (
         lines.where("key <> ''").groupBy("key").agg(F.countDistinct(F.when(F.col("edge"), F.col("doc_id"))).alias("docs"), F.avg(F.col("edge").cast("int")).alias("share"))
     ).where(f"docs >= {EDGE_DOCS} and share >= {EDGE_SHARE}")
@@ -174,7 +178,7 @@ def classify(lines: list[str], first_page: bool, page: int, keys: list[tuple[str
             else:
                 hit = [p for k, p in keys if near(k, key)] if not re.search(r"[。；;，]$", key) and not _HEADING.match(line) else []
                 side_no = _SIDE_NO.search(line) and not re.search(r"[。，,]", key)
-                if hit or (side_no and len(key) < 40 and any(key.startswith(k[:8]) for k, _ in keys)):
+                if hit or (side_no and any(key.startswith(k[:8]) for k, _ in keys)):
                     out[i] = "header"
                     if side is head and not any(hit) and not side_no:
                         titles.append(i)
@@ -193,14 +197,31 @@ class Trie:
 
     def __init__(self, counts: dict[str, int]):
         self.root: dict = {}
+        self.back: dict = {}
         for word, n in counts.items():
-            node = self.root
-            for ch in word:
-                node = node.setdefault(ch, {})
-            node[""] = n
+            for root, letters in ((self.root, word), (self.back, word[::-1])):
+                node = root
+                for ch in letters:
+                    node = node.setdefault(ch, {})
+                node[""] = n
 
     def within(self, word: str, most: int) -> list[tuple[str, int, int]]:
-        """Every (word, distance, count) of the trie at most ``most`` edits away.  A state of the automaton
+        """Every (word, distance, count) of the trie at most ``most`` edits away.  With one edit one half of the word is
+        untouched: the search starts behind it, from the front or from the back."""
+        if most != 1 or len(word) < 2:
+            return self._search(self.root, "", word, most)
+        half = len(word) // 2
+        found: dict[str, tuple[int, int]] = {}
+        for root, fixed, rest, way in ((self.root, word[:half], word[half:], 1), (self.back, word[half:][::-1], word[:half][::-1], -1)):
+            node: dict | None = root
+            for ch in fixed:
+                node = node.get(ch) if node is not None else None
+            for other, d, n in self._search(node, fixed, rest, 1) if node is not None else ():
+                found[other[::way]] = min((d, n), found.get(other[::way], (d, n)))
+        return [(w, d, n) for w, (d, n) in found.items()]
+
+    def _search(self, root: dict, start: str, word: str, most: int) -> list[tuple[str, int, int]]:
+        """The words below ``root``, which ``start`` leads to.  A state of the automaton
         is the row of distances to the prefixes of the word, cut at ``most`` + 1; a step depends on the row
         and on where the character stands in the word only, so steps are kept."""
         out: list[tuple[str, int, int]] = []
@@ -208,7 +229,7 @@ class Trie:
         places = {ch: tuple(word[i] == ch for i in range(n)) for ch in word}
         nowhere = (False,) * n
         steps: dict[tuple, tuple | None] = {}
-        stack = [("", self.root, tuple(min(i, cap) for i in range(n + 1)))]
+        stack = [(start, root, tuple(min(i, cap) for i in range(n + 1)))]
         while stack:
             prefix, node, row = stack.pop()
             if row[n] <= most and "" in node:
@@ -289,10 +310,19 @@ def _han_grams(stream: Stream) -> Iterator[str]:
     text = "".join(c for c, _, _ in stream.han)
     for i in range(len(text) - GRAM + 1):
         gram = text[i : i + GRAM]
-        if sum("㐀" <= c <= "鿿" for c in gram) >= 2:
+        if _two_han(gram):
             yield gram
 
 
+def _two_han(gram: str) -> bool:
+    return sum("㐀" <= c <= "鿿" for c in gram) >= 2
+
+
+def _shape(token: str) -> str:
+    """A token of digits and letters with 9 for every digit; empty for other tokens."""
+    return re.sub("[0-9]", "9", token) if re.search("[0-9]", token) and re.search("[^0-9]", token) else ""
+
+
 def _streams(pdf: pd.DataFrame) -> Iterator[tuple]:
     for row in pdf.itertuples(index=False):
         marked = dict(zip((int(x) for x in row.marked_at), row.marked_as))
@@ -302,138 +332,192 @@ def _streams(pdf: pd.DataFrame) -> Iterator[tuple]:
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        counts: Counter = Counter()
-        for _, _, _, stream in _streams(pdf):
-            own = [w.casefold() for w, at in stream.words]
-            counts.update(("w", w) for w in own)
-            counts.update(("b", f"{a} {b}") for a, b in zip(own, own[1:]))
-            counts.update(("h", g) for g in _han_grams(stream))
-        yield pd.DataFrame([(k, g, n) for (k, g), n in counts.items()], columns=["sort", "entry", "n"])
+        counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        for row, _, _, stream in _streams(pdf):
+            own = [w.casefold() for w, _ in stream.words]
+            here = counts[bool(row.clean)]
+            here.update(("w", w) for w in own)
+            here.update(("s", re.sub("[0-9]", "9", w)) for w, _ in stream.words if re.search("[0-9]", w))
+            here.update(("b", f"{a} {b}") for a, b in zip(own, own[1:]))
+            here.update(("h", g) for g in _han_grams(stream))
+        rows = [(k, g, n, n * clean) for clean, some in counts.items() for (k, g), n in some.items()]
+        yield pd.DataFrame(rows, columns=["sort", "entry", "n", "clean"])
 
 
 def vocabulary(pages: DataFrame) -> DataFrame:
-    """sort (w: word, b: two neighbours, h: stretch of Chinese), entry, n: counts over all running text, of
-    entries with at least LEAST_SHARE of their sort.  So there are at most 1 / LEAST_SHARE of each sort."""
-    counts = pages.mapInPandas(_count, "sort string, entry string, n long").groupBy("sort", "entry").agg(F.sum("n").alias("n")).where("n >= 3")
-    counts = staged(counts, "counts")
-    whole = counts.groupBy("sort").agg(F.sum("n").alias("whole"))
-    return counts.join(F.broadcast(whole), "sort").where(F.col("n") >= F.col("whole") * LEAST_SHARE).select("sort", "entry", "n")
+    """sort (w: word, s: shape of a token with digits, b: two neighbours, h: stretch of Chinese), entry, n: sightings in
+    all running text, clean: those on digital pages, which have no misreadings.  Nothing is left out."""
+    return staged(pages.mapInPandas(_count, "sort string, entry string, n long, clean long").groupBy("sort", "entry").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean")), "counts")
 
 
 # ---------------------------------------------------------------- wrong characters
 
 
-def _folds(token: str) -> set[str]:
-    """The token with every look-alike pair replaced at one place; used to rank, not to find."""
-    out = set()
-    for right, wrong in LOOKALIKE:
-        for a, b in ((wrong, right), (right, wrong)):
-            at = token.find(a)
-            while at >= 0:
-                out.add(token[:at] + b + token[at + len(a) :])
-                at = token.find(a, at + 1)
-    return out
+def edit(right: str, wrong: str) -> tuple[int, str, str]:
+    """Where two words part, and what stands there in each, without what they share at both ends."""
+    a, most = 0, min(len(right), len(wrong))
+    while a < most and right[a] == wrong[a]:
+        a += 1
+    b = 0
+    while b < most - a and right[-1 - b] == wrong[-1 - b]:
+        b += 1
+    return a, right[a : len(right) - b], wrong[a : len(wrong) - b]
 
 
-class Reader:
-    """Finds wrong characters with the vocabulary of the corpus."""
-
-    def __init__(self, entries: list[tuple[str, str, int]]):
-        sorts: dict[str, dict[str, int]] = {"w": {}, "b": {}, "h": {}}
-        for sort, entry, n in entries:
-            sorts[sort][entry] = n
-        self.words, self.pairs, self.grams = sorts["w"], sorts["b"], sorts["h"]
-        self.word_trie = Trie({w: n for w, n in self.words.items() if n >= SEEN and w.isalpha()})
-        self.gram_trie = Trie({g: n for g, n in self.grams.items() if n >= SEEN})
-        self.most_word = max(self.words.values(), default=0)
-        #: What is at most this frequent can be wrong.
-        self.rare_gram = SEEN + RARE_SHARE * sum(self.grams.values())
-        self._word_cache: dict[str, list] = {}
-        self._gram_cache: dict[str, dict[int, list]] = {}
-
-    def word(self, token: str, before: str, after: str) -> str | None:
-        """The right reading of a wrongly recognised token, else None."""
-        if len(token) < 2 or _CODE.match(token) or _ORDINAL.match(token):
-            return None
-        if any(c.isdigit() for c in token):
-            if re.fullmatch(r"[0-9lIOoSs|]+", token) and not re.fullmatch(r"[A-Z]+\d+", token):
-                return token.translate(str.maketrans("lIOoSs|", "1100551"))
-            if re.fullmatch(r"[A-Z]{1,4}\d*[lo]\d*[A-Z]?", token):
-                return token.replace("l", "1").replace("o", "0")
-        if token.isupper() and len(token) < 5:
-            return None
-        low = token.casefold()
-        own = self.words.get(low, 0)
-        if RATIO * own > self.most_word:
-            return None  # no word is so much more frequent
-        if low not in self._word_cache:
-            if len(self._word_cache) > 200_000:
-                self._word_cache.clear()
-            folds = _folds(low)
-            found: list = []
-            for most in (1, 2):
-                if not found and len(low) >= 2 + most:
-                    found = [(w, d, n) for w, d, n in self.word_trie.within(low, most) if w != low and n >= RATIO * own and ((d == 1 and len(w) == len(low)) or w in folds)]
-            self._word_cache[low] = found
-        best, most = None, 0.0
-        for w, d, n in self._word_cache[low]:
-            context = self.pairs.get(f"{before} {w}", 0) + self.pairs.get(f"{w} {after}", 0)
-            mine = self.pairs.get(f"{before} {low}", 0) + self.pairs.get(f"{low} {after}", 0)
-            strange = any(not c.isalpha() for c in low)
-            if context >= (1 if strange else 3) and context >= 5 * mine and context / d > most:
-                best, most = w, context / d
-        return best
-
-    def han(self, text: str) -> list[tuple[int, str]]:
-        """(position, right character) of wrongly recognised Chinese characters: every stretch over the
-        position is rare, and one other character makes most of them frequent."""
-        counts = [self.grams.get(text[i : i + GRAM], 0) for i in range(len(text) - GRAM + 1)]
-        out = []
-        for at, ch in enumerate(text):
-            if not "㐀" <= ch <= "鿿":
+def _match(asked: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
+    trie = Trie(dict(zip(vocabulary.entry, vocabulary.n)))
+    rows = []
+    for sort, entry, n, clean in zip(asked.sort, asked.entry, asked.n, asked.clean):
+        for other, d, k in trie.within(entry, 2 if sort == "w" and len(entry) >= 4 and not clean else 1):
+            if other == entry or k < RATIO * n:
                 continue
-            covering = range(max(0, at - GRAM + 1), min(at, len(counts) - 1) + 1)
-            if not covering or max(counts[i] for i in covering) > self.rare_gram:
+            place, right, wrong = edit(other, entry)
+            if sort == "h" and not ("㐀" <= right <= "鿿" and "㐀" <= wrong <= "鿿"):
                 continue
-            votes: Counter = Counter()
-            for i in covering:
-                for c, n in self._swaps(text[i : i + GRAM]).get(at - i, ()):
-                    if n >= RATIO * max(counts[i], 0.5):
-                        # at the edge of a heading only one stretch is known; it must say so clearly
-                        votes[c] += 2 if n >= 10 * max(SEEN, RATIO * counts[i]) else 1
-            if votes:
-                c, n = min(votes.items(), key=lambda x: (-x[1], x[0]))
-                if n >= min(2, len(covering)):
-                    out.append((at, c))
-        return out
+            rows.append((sort, entry, n, clean, other, k, d, place, right, wrong))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _CANDIDATES.split(", ")])
+
+
+_CANDIDATES = "sort string, entry string, n long, clean long, other string, other_n long, d int, place int, right string, wrong string"
+
+
+def candidates(counts: DataFrame) -> DataFrame:
+    """Of every entry that could be wrong all frequent entries within the distance: the Levenshtein automata of all entries
+    meet the trie of the frequent ones.  The trie is cut into blocks of BLOCK entries at most and the
+    entries are dealt out, so a task holds one block and at most about BLOCK entries; each entry meets every block."""
+    words = counts.where("sort <> 'b' and length(entry) >= 2")
+    top = words.groupBy("sort").agg(F.max("n").alias("top"))
+    frequent = words.where(f"n >= {SEEN}")
+    asked = words.join(F.broadcast(top), "sort").where(f"n * {RATIO} <= top and not entry rlike '^[0-9]+$'").drop("top")
+    sizes = {sort: (len_, ask) for sort, len_, ask in frequent.groupBy("sort").agg(F.count("*").alias("f")).join(asked.groupBy("sort").agg(F.count("*").alias("a")), "sort").collect()}
+    parallel = counts.sparkSession.sparkContext.defaultParallelism
+    blocks, salts = F.lit(1), F.lit(1)
+    for sort, (f, a) in sizes.items():  # three sorts
+        blocks = F.when(F.col("sort") == sort, F.lit(-(-f // BLOCK))).otherwise(blocks)
+        salts = F.when(F.col("sort") == sort, F.lit(max(-(-a // BLOCK), min(parallel, -(-a // 500))))).otherwise(salts)
+    left = asked.withColumn("salt", F.pmod(F.xxhash64("entry", F.lit(1)), salts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    right = frequent.select("sort", "entry", "n").withColumn("block", F.pmod(F.xxhash64("entry"), blocks).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))))
+    keys = ["sort", "block", "salt"]
+    right = right.toDF(*right.columns)  # columns of their own: both sides come from one table
+    return staged(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_match, _CANDIDATES), "candidates")
+
+
+def confusions(found: DataFrame) -> DataFrame:
+    """sort, right, wrong, cases, strong: characters that the scanner takes for each other, learned from the corpus.
+
+    A misreading comes in many unrelated words and stretches and never on a digital page; a genuine wording with another
+    character in one place comes in few, or on digital pages too.  Each unattested entry counts for the edit that
+    explains most.  ``strong`` edits have CASES entries and hardly any attested one, or are known look-alikes."""
+    by = ["sort", "right", "wrong"]
+    seen = found.groupBy(*by).agg(F.countDistinct(F.when(F.col("clean") == 0, F.col("entry"))).alias("open"), F.countDistinct(F.when(F.col("clean") > 0, F.col("entry"))).alias("attested"))
+    best = F.max_by(F.struct("right", "wrong"), F.struct(F.col("open") / (F.col("attested") + 1), "other_n", "right", "wrong"))
+    cases = found.where("clean = 0").join(seen, by).groupBy("sort", "entry").agg(best.alias("e")).groupBy("sort", F.col("e.right").alias("right"), F.col("e.wrong").alias("wrong")).agg(F.count("*").alias("cases"))
+    rival = F.max("cases").over(Window.partitionBy("sort", "wrong"))
+    pairs = {(a, b) for x, y in LOOKALIKE for a, b in ((x, y), (y, x))}
+    known = (F.col("sort") != "h") & F.concat_ws("\n", "right", "wrong").isin(sorted(f"{a}\n{b}" for a, b in pairs))
+    rows = cases.join(seen, by).withColumn("rival", rival).where(f"attested * {CASES_EACH} <= cases and cases * {CASES_EACH} >= rival")
+    return staged(rows.select(*by, "cases", "attested", (known | (F.col("cases") >= CASES)).alias("strong")), "confusions")
+
+
+def accepted(found: DataFrame, learned: DataFrame) -> DataFrame:
+    """The candidates that can stand for an entry, with ``level``: 2 for a strong edit; 1 for another edit of a rare
+    entry, for which the surroundings must speak more clearly.  Shapes need a letter known to be read for a digit."""
+    digit = learned.where("sort = 'w' and strong and right rlike '^[0-9]$'").groupBy(F.col("wrong").alias("low")).agg(F.max_by("right", F.struct("cases", "right")).alias("digit"))
+    shapes = found.where("sort = 's' and clean = 0 and right = '9' and length(wrong) = 1").withColumn("low", F.lower("wrong")).join(digit, "low").withColumn("level", F.lit(2)).withColumn("cases", F.lit(0))
+    others = found.where("sort <> 's' and clean = 0").join(learned, ["sort", "right", "wrong"], "left").withColumn("digit", F.lit(None).cast("string"))
+    weak = F.when(F.col("sort") == "h", F.expr(f"cases >= 3 and attested = 0 and other_n >= {WEAK_RATIO} * n")).otherwise(F.expr("length(entry) >= 5 and not entry rlike '[^a-z]'")) & (F.col("n") <= SEEN // 2)
+    level = F.when(F.coalesce("strong", F.lit(False)), 2).when(weak, 1)
+    names = ["sort", "entry", "n", "other", "other_n", "d", "place", "right", "wrong", "digit", "level", "cases"]
+    return staged(others.withColumn("level", level).where("level is not null").select(names).unionByName(shapes.select(names)), "accepted")
+
+
+_MARKS = "uid string, doc_id string, num int, line int, place int, kind string, token string, entry string, before string, after string, offset int"
+
+
+def marks(rows: DataFrame, wrong_chars: set[str]) -> DataFrame:
+    """Everything on a page that a verdict can fall on: furniture and cut words (final), words (w) and shapes (s) with
+    their neighbours, and Chinese characters that scanners are known to write (h) with the GRAM - 1 characters on both sides."""
 
-    def _swaps(self, gram: str) -> dict[int, list]:
-        out = self._gram_cache.get(gram)
-        if out is not None:
-            return out
-        if len(self._gram_cache) > 200_000:
-            self._gram_cache.clear()
-        out = self._gram_cache[gram] = {}
-        for other, _, n in self.gram_trie.within(gram, 1):
-            if len(other) == GRAM and other != gram:
-                k = next(k for k in range(GRAM) if other[k] != gram[k])
-                if "㐀" <= gram[k] <= "鿿" and "㐀" <= other[k] <= "鿿":
-                    out.setdefault(k, []).append((other[k], n))
-        return out
-
-    def wrong(self, stream: Stream) -> tuple[dict[int, list[tuple[str, str]]], list[tuple[int, int, str, str]]]:
-        """Lines with wrong tokens, and wrong Chinese characters as (line, place in it, wrong, right)."""
-        words: dict[int, list[tuple[str, str]]] = {}
-        low = [w.casefold() for w, _ in stream.words]
-        for i, (token, at) in enumerate(stream.words):
-            right = self.word(token, low[i - 1] if i else "", low[i + 1] if i + 1 < len(low) else "")
-            if right is not None and at[0] != -2 and any(x >= 0 for x in at):
-                k = next((k for k in range(min(len(token), len(right))) if token[k].casefold() != right[k]), 0)
-                line = at[k] if at[k] >= 0 else next(x for x in at if x >= 0)
-                words.setdefault(line, []).append((token, right))
-        text = "".join(c for c, _, _ in stream.han)
-        han = [(stream.han[p][1], stream.han[p][2], text[p], c) for p, c in self.han(text) if stream.han[p][1] >= 0]
-        return words, han
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple] = []
+            for r, _, marked, stream in _streams(pdf):
+                ids = (r.uid, r.doc_id, r.num)
+                out += [(*ids, i, -1, kind, "", "", "", "", 0) for i, kind in marked.items()]
+                out += [(*ids, i, -1, "hyphen", "", "", "", "", 0) for i in stream.cuts]
+                low = [w.casefold() for w, _ in stream.words]
+                for k, (token, at) in enumerate(stream.words):
+                    if at[0] == -2 or len(token) < 2 or token.isdigit() or not any(x >= 0 for x in at):
+                        continue
+                    line = next(x for x in at if x >= 0)
+                    sides = (low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else "")
+                    # a token over the end of a line: place is the number of its characters on the first line
+                    first = sum(x == at[0] for x in at) if at[0] >= 0 and at[-1] != at[0] else 0
+                    out.append((*ids, line, first, "w", token, low[k], *sides, at[-1] if first and at[-1] >= 0 else -1))
+                    if _shape(token):
+                        out.append((*ids, line, first, "s", token, _shape(token), *sides, at[-1] if first and at[-1] >= 0 else -1))
+                text = "".join(c for c, _, _ in stream.han)
+                for p, (ch, line, place) in enumerate(stream.han):
+                    if line >= 0 and ch in wrong_chars:
+                        lo = max(0, p - GRAM + 1)
+                        out.append((*ids, line, place, "h", ch, text[lo : p + GRAM], "", "", p - lo))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _MARKS.split(", ")])
+            yield frame.astype({"num": "Int32"})
+
+    return staged(rows.mapInPandas(find, _MARKS), "marks")
+
+
+def _han_verdicts(seen: DataFrame, counts: DataFrame, fit: DataFrame) -> DataFrame:
+    """entry (surroundings), offset, right: of each distinct surroundings of a suspicious character.  It stays if one of the
+    stretches over it stands on a digital page."""
+    some = seen.where("kind = 'h'").select("entry", "offset").distinct()
+    at = F.expr(f"sequence(greatest(0, offset - {GRAM - 1}), least(offset, length(entry) - {GRAM}))")
+    grams = some.where(f"length(entry) >= {GRAM}").select("entry", "offset", F.explode(at).alias("i")).select("entry", "offset", F.substring("entry", F.col("i") + 1, F.lit(GRAM)).alias("gram"), (F.col("offset") - F.col("i")).alias("place"))
+    attested = counts.where("sort = 'h' and clean > 0").select(F.col("entry").alias("gram"), F.lit(1).alias("attested"))
+    fit = fit.where("sort = 'h'").select(F.col("entry").alias("gram"), "place", "right", "level", "cases", F.when(F.col("other_n") >= 10 * F.greatest(F.lit(SEEN), F.col("n") * WEAK_RATIO), 2).otherwise(1).alias("votes"))
+    wide = grams.join(attested, "gram", "left").join(fit, ["gram", "place"], "left")
+    per = wide.groupBy("entry", "offset").agg(F.max("attested").alias("attested"), F.collect_list(F.when(F.col("right").isNotNull(), F.struct("right", "level", "cases", "votes"))).alias("hits"), F.size(F.collect_set("place")).alias("stretches"))
+    each = per.where("attested is null and size(hits) > 0").select("entry", "offset", "stretches", F.explode("hits").alias("x")).groupBy("entry", "offset", "stretches", "x.right").agg(F.max("x.level").alias("level"), F.max("x.cases").alias("cases"), F.sum("x.votes").alias("votes"))
+    good = each.where("level = 2 or votes >= least(2, stretches)")
+    return good.groupBy("entry", "offset").agg(F.max_by("right", F.struct("level", "cases", "votes", "right")).alias("right"))
+
+
+def _word_verdicts(seen: DataFrame, counts: DataFrame, fit: DataFrame) -> DataFrame:
+    """entry, before, after, right: of each distinct word with its neighbours, the candidate that the neighbours want most."""
+    fit = fit.where("sort = 'w'").select("entry", "other", "d", "level", "cases")
+    asked = seen.where("kind = 'w'").select("entry", "before", "after").distinct().join(fit, "entry")
+    near = lambda role, a, b: F.struct(F.lit(role).alias("role"), F.concat_ws(" ", a, b).alias("pair"))
+    pairs = F.explode(F.array(near("l", "before", "other"), near("r", "other", "after"), near("m", "before", "entry"), near("m", "entry", "after")))
+    keys = ["entry", "before", "after", "other", "d", "level", "cases"]
+    known = counts.where("sort = 'b'").select(F.col("entry").alias("pair"), F.col("n").alias("times"))
+    times = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("times"))), F.lit(0))
+    got = asked.withColumn("x", pairs).select(*keys, "x.role", "x.pair").join(known, "pair", "left").groupBy(*keys).agg(times("l").alias("l"), times("r").alias("r"), times("m").alias("mine"))
+    strange = F.col("entry").rlike("[^a-z]")
+    enough = F.when(F.col("level") == 2, F.col("l") + F.col("r") >= F.when(strange, 1).otherwise(3)).otherwise((F.col("l") >= 3) & (F.col("r") >= 3))
+    good = got.where(enough & (F.col("l") + F.col("r") >= 5 * F.col("mine")))
+    return good.groupBy("entry", "before", "after").agg(F.max_by("other", F.struct("level", (F.col("l") + F.col("r")) / F.col("d"), "cases", "other")).alias("right"))
+
+
+def readings(rows: DataFrame, counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(marks, fixes) of ``rows``, by the vocabulary of ``counted``.  fixes: uid, doc_id, num, line, place, sort (w, h), wrong, right."""
+    counts = vocabulary(counted)
+    found = candidates(counts)
+    learned = confusions(found)
+    fit = accepted(found, learned)
+    # at most as many as there are Chinese characters
+    wrong_chars = {r.wrong for r in fit.where("sort = 'h'").select("wrong").distinct().toLocalIterator()}
+    seen = marks(rows, wrong_chars)
+    ids = ["uid", "doc_id", "num", "line", "place"]
+    han = seen.where("kind = 'h'").join(_han_verdicts(seen, counts, fit), ["entry", "offset"]).select(*ids, F.lit("h").alias("sort"), F.col("token").alias("wrong"), "right")
+    words = seen.where("kind = 'w'").join(_word_verdicts(seen, counts, fit), ["entry", "before", "after"]).select(*ids, "offset", "token", F.col("entry").alias("low"), "right")
+    shapes = fit.where("sort = 's'").groupBy("entry").agg(F.max_by(F.struct("place", "digit"), F.struct("other_n", "other")).alias("e")).select("entry", F.col("e.place").alias("at"), "e.digit")
+    numbers = seen.where("kind = 's'").join(shapes, "entry").select(*ids, "offset", "token", F.lower("token").alias("low"), F.expr("overlay(token placing digit from at + 1 for 1)").alias("right"))
+    # where the two part decides on the line of a token that goes over the end of a line
+    part = F.expr("coalesce(array_min(filter(sequence(1, length(low)), i -> substring(low, i, 1) <> substring(right, i, 1))), 1)")
+    line = F.when((F.col("place") > 0) & (F.col("offset") >= 0) & (part > F.col("place")), F.col("offset")).otherwise(F.col("line"))
+    latin = words.unionByName(numbers.join(words.select("uid", "line", "token").distinct(), ["uid", "line", "token"], "left_anti"))
+    latin = latin.withColumn("line", line).select(*ids, F.lit("w").alias("sort"), F.col("token").alias("wrong"), "right")
+    return seen, han.unionByName(latin)
 
 
 # ---------------------------------------------------------------- the jobs
@@ -449,10 +533,15 @@ def scanned(pages: DataFrame) -> DataFrame:
     return once.drop("ocr").join(says.select("doc_id", scan.alias("scan")), "doc_id")
 
 
+def _spread(pages: DataFrame) -> DataFrame:
+    """Few bytes, long work: a stated number of partitions keeps pages from being put together into one task."""
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "page_num")
+
+
 def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scanned pages with their furniture (marked_at, marked_as) and the last running line before and the first after the page.
     The digital pages come beside them: they have none of it, and count for the vocabulary; then the furniture of each document."""
-    pages = staged(scanned(pages), "pages")
+    pages = staged(_spread(scanned(pages)), "pages")
     scans, digital = pages.where("scan").drop("scan"), pages.where("not scan").drop("scan")
     first = Window.partitionBy("doc_id")
     kept = staged(furniture(scans), "furniture")
@@ -473,24 +562,12 @@ def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     order = Window.partitionBy("doc_id").orderBy("page_num", "text")
     none = F.lit(None).cast("string")
     clean = digital.withColumns({"marked_at": F.array().cast("array<int>"), "marked_as": F.array().cast("array<string>"), "before": none, "after": none})
-    return staged(marked.withColumn("before", F.lag("ends").over(order)).withColumn("after", F.lead("opens").over(order)).drop("opens", "ends"), "prepared"), clean, kept
-
+    return staged(_spread(marked.withColumn("before", F.lag("ends").over(order)).withColumn("after", F.lead("opens").over(order)).drop("opens", "ends")), "prepared"), clean, kept
 
-def _reader(pages: DataFrame):
-    """The bounded vocabulary as a broadcast list; each worker makes its reader once."""
-    entries = [(r.sort, r.entry, r.n) for r in vocabulary(pages).toLocalIterator()]
-    return pages.sparkSession.sparkContext.broadcast(entries)
 
-
-_READERS: dict = {}
-
-
-def _of(shared) -> Reader:
-    key = id(shared)
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(shared.value)
-    return _READERS[key]
+def _with_uid(rows: DataFrame, num: str) -> DataFrame:
+    """Rows whose key can come with several texts get an own key."""
+    return rows.withColumn("num", F.col(num).cast("int")).withColumn("uid", F.md5(F.concat_ws("\n", "doc_id", "num", "text")))
 
 
 def noisy_lines(pages: DataFrame) -> DataFrame:
@@ -501,37 +578,48 @@ def noisy_lines(pages: DataFrame) -> DataFrame:
     table gives an empty result.
     """
     rows, clean, _ = prepared(pages)
-    shared = _reader(rows.unionByName(clean))
+    seen, fixes = readings(_with_uid(rows, "page_num"), _counted(rows, clean))
+    lines = seen.where("kind not in ('w', 's', 'h')").select("doc_id", "num", "line", "kind")
+    lines = lines.unionByName(fixes.select("doc_id", "num", "line", F.lit("misread").alias("kind")))
+    return lines.select("doc_id", F.col("num").alias("page_num"), (F.col("line") + 1).alias("line_no"), "kind").distinct()
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _of(shared)
-        for pdf in batches:
-            out = []
-            for r, _, marked, stream in _streams(pdf):
-                out += [(r.doc_id, r.page_num, i + 1, kind) for i, kind in marked.items()]
-                out += [(r.doc_id, r.page_num, i + 1, "hyphen") for i in stream.cuts]
-                words, han = reader.wrong(stream)
-                out += [(r.doc_id, r.page_num, i + 1, "misread") for i in {*words, *(h[0] for h in han)}]
-            yield pd.DataFrame(out, columns=["doc_id", "page_num", "line_no", "kind"])
 
-    return rows.mapInPandas(find, "doc_id string, page_num int, line_no int, kind string")
+def _counted(rows: DataFrame, clean: DataFrame) -> DataFrame:
+    return rows.withColumn("clean", F.lit(False)).unionByName(clean.withColumn("clean", F.lit(True)))
+
+
+def _of_text(fixes: DataFrame) -> DataFrame:
+    return fixes.groupBy("uid").agg(F.collect_list(F.struct("line", "place", "sort", "wrong", "right")).alias("fixes"))
+
+
+def _by_line(fixes) -> tuple[dict[int, list[tuple[str, str]]], list[tuple[int, int, str, str]]]:
+    """Wrong tokens of each line, and wrong Chinese characters as (line, place in it, wrong, right)."""
+    words: dict[int, list[tuple[str, str]]] = {}
+    han = []
+    for f in fixes if fixes is not None else []:
+        if f["sort"] == "h":
+            han.append((f["line"], f["place"], f["wrong"], f["right"]))
+        else:
+            words.setdefault(f["line"], []).append((f["wrong"], f["right"]))
+    return words, han
 
 
 def repaired(pages: DataFrame) -> DataFrame:
     """doc_id, page_num, clean: the running text of every scanned page in paragraphs.  A word or sentence
     that goes on over the page's end is completed on the page where it begins."""
     rows, clean, _ = prepared(pages)
-    shared = _reader(rows.unionByName(clean))
+    keyed = _with_uid(rows, "page_num")
+    _, fixes = readings(keyed, _counted(rows, clean))
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _of(shared)
         for pdf in batches:
             out = []
-            for r, lines, marked, stream in _streams(pdf):
-                out.append((r.doc_id, r.page_num, reflow(lines, marked, stream, reader, r.before or "", r.after or "")))
+            for r in pdf.itertuples(index=False):
+                marked = dict(zip((int(x) for x in r.marked_at), r.marked_as))
+                out.append((r.doc_id, r.page_num, reflow(r.text.split("\n"), marked, *_by_line(r.fixes), r.before or "", r.after or "")))
             yield pd.DataFrame(out, columns=["doc_id", "page_num", "clean"])
 
-    return rows.mapInPandas(repair, "doc_id string, page_num int, clean string")
+    return keyed.join(_of_text(fixes), "uid", "left").mapInPandas(repair, "doc_id string, page_num int, clean string")
 
 
 def split_known(raw: str, known: list[tuple[int, str]], keys: list[str], shifts: set[int]) -> list[tuple[int, str, bool]]:
@@ -644,24 +732,22 @@ def repaired_documents(docs: DataFrame, pages: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     more = bodies.where("rest <> ''").select("doc_id", F.lit(0).alias("page_num"), F.col("rest").alias("text")).distinct()
     more = more.withColumns({"marked_at": F.array().cast("array<int>"), "marked_as": F.array().cast("array<string>"), "before": none, "after": none})
-    shared = _reader(rows.unionByName(clean).unionByName(more))
+    targets = _with_uid(bodies.drop("rest").withColumns({"marked_at": F.array().cast("array<int>"), "marked_as": F.array().cast("array<string>"), "before": none, "after": none}), "doc_version")
+    _, fixes = readings(targets, _counted(rows.unionByName(more), clean))
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _of(shared)
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                lines = r.text.split("\n")
-                out.append((r.doc_id, r.doc_version, reflow(lines, {}, Stream(lines, {}, "", ""), reader, "", "")))
+                out.append((r.doc_id, r.doc_version, reflow(r.text.split("\n"), {}, *_by_line(r.fixes), "", "")))
             yield pd.DataFrame(out, columns=["doc_id", "doc_version", "clean"]).astype({"doc_version": "Int32"})
 
     # few bytes, long work: a stated number keeps the documents from being put together into one task
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bodies.drop("rest").repartition(n, "doc_id", "doc_version").mapInPandas(repair, "doc_id string, doc_version int, clean string")
+    return targets.join(_of_text(fixes), "uid", "left").repartition(n, "uid").mapInPandas(repair, "doc_id string, doc_version int, clean string")
 
 
-def reflow(lines: list[str], marked: dict[int, str], stream: Stream, reader: Reader, before: str, after: str) -> str:
-    words, han = reader.wrong(stream)
+def reflow(lines: list[str], marked: dict[int, str], words: dict[int, list[tuple[str, str]]], han: list[tuple[int, int, str, str]], before: str, after: str) -> str:
     body = running(lines, marked)
     fixed: dict[int, str] = {}
     swapped: dict[int, dict[int, str]] = {}

@@ -1,6 +1,8 @@
 import random
 
-from heronry.llm.scans import Reader, Stream, Trie, classify, joins_next, near, noisy_lines, page_number, reflow, repaired, repaired_documents, split_known
+from heronry.llm.scans import Trie, accepted, candidates, classify, confusions, edit, joins_next, near, noisy_lines, page_number, repaired, repaired_documents, split_known
+from heronry.llm.scans import _han_verdicts as han_verdicts
+from heronry.llm.scans import _word_verdicts as word_verdicts
 
 BODY = ["价格保护以下单时的成交价为准，差额折成积分。", "电子发票在确认收货后由会员组开具，会发送到邮箱。", "同一账号重复申请换货超过次数，会进入人工抽检。", "Reward points are restored after an exchange is completed and vouchers keep their validity."]
 
@@ -34,18 +36,53 @@ def test_repair(spark):
     assert "内部资料" not in clean and "值班手册" not in clean
 
 
-def test_frequent_misreadings_are_found_at_any_size():
+def verdicts(spark, entries, seen):
+    """What the vocabulary (sort, entry, n, clean) says of marked words and stretches (kind, entry, before, after, offset)."""
+    counts = spark.createDataFrame(entries, "sort string, entry string, n long, clean long")
+    found = candidates(counts)
+    fit = accepted(found, confusions(found))
+    rows = spark.createDataFrame(seen, "kind string, entry string, before string, after string, offset int")
+    return {(r.entry, r.before): r.right for r in word_verdicts(rows, counts, fit).collect()} | {(r.entry, r.offset): r.right for r in han_verdicts(rows, counts, fit).collect()}
+
+
+def stretches(text, n, clean=0):
+    return [("h", text[i : i + 4], n, clean) for i in range(len(text) - 3)]
+
+
+def test_frequent_misreadings_are_found_at_any_size(spark):
     for times in (1, 10, 1000):
         entries = [("w", "hours", 2500), ("w", "bours", 6), ("w", "yours", 600), ("w", "of", 300_000), ("b", "48 hours", 900), ("b", "hours of", 900), ("b", "is yours", 300), ("b", "48 bours", 3)]
-        reader = Reader([(sort, entry, n * times) for sort, entry, n in entries])
-        assert reader.word("bours", "48", "of") == "hours"
-        assert reader.word("yours", "is", "of") is None and reader.word("hours", "48", "of") is None
+        got = verdicts(spark, [(sort, entry, n * times, 0) for sort, entry, n in entries], [("w", "bours", "48", "of", 0), ("w", "yours", "is", "of", 0), ("w", "hours", "48", "of", 0)])
+        assert got == {("bours", "48"): "hours"}
+
 
+def test_genuine_minority_wordings_stay_at_any_size(spark):
+    """A wording that differs in one character from a frequent one is no misreading: no other wording asks for the same swap."""
+    for n in (2, 200, 20_000):
+        entries = stretches("第9章总则A", 20 * n) + [x for x in stretches("第9章附则A", n) if "附" in x[1]]
+        assert verdicts(spark, entries, [("h", "第9章附则A", "", "", 3)]) == {}
+        # nor is it if pages without misreadings have it, though the swap is a known one
+        known = [x for i in range(30) for x in [*stretches(f"甲{chr(0x5000 + i)}单乙丙", 20 * n), *stretches(f"甲{chr(0x5000 + i)}草乙丙", n)]]
+        wrong = stretches("丁戊单己庚", 40 * n) + stretches("丁戊草己庚", n, clean=1)
+        assert verdicts(spark, known + wrong, [("h", "甲倀草乙丙", "", "", 2), ("h", "丁戊草己庚", "", "", 2)]) == {("甲倀草乙丙", 2): "单"}
 
-def test_misread_characters_are_replaced_at_their_place():
-    line = "　　草稿 12 份，以下草时的成交价为准，以下草时 LG-5 的差额"
-    reader = Reader([("h", g, 900) for g in ("以下单时", "下单时的", "单时的成", "，以下单", "下单时A", "单时A的")])
-    assert reflow([line], {}, Stream([line], {}, "", ""), reader, "", "") == "草稿 12 份，以下单时的成交价为准，以下单时 LG-5 的差额"
+
+def test_words_of_other_lengths_and_with_digits(spark):
+    entries = [("w", "warehouse", 900, 90), ("w", "the", 90_000, 900), ("w", "desk", 3000, 30), ("b", "the warehouse", 800, 80), ("b", "warehouse desk", 300, 30), ("w", "304", 700, 70), ("b", "room 304", 70, 7)]
+    bad = ["warehuse", "warehousse", "warehouxe"]
+    entries += [("w", w, 1, 0) for w in [*bad, "3o4"]] + [("w", "warehouses", 4, 2)]
+    seen = [("w", w, "the", "desk", 0) for w in [*bad, "warehouses"]] + [("w", "3o4", "room", "of", 0)]
+    assert verdicts(spark, entries, seen) == {(w, "the"): "warehouse" for w in bad} | {("3o4", "room"): "304"}
+
+
+def test_misread_characters_are_replaced_at_their_place(spark):
+    rows = [(f"doc{d}", 1, "\n".join(["以下单时的成交价为准，差额折成积分，以下单时 AB-5 的差额。"] * 20), {"ocr": "true"}) for d in range(20)]
+    rows.append(("x", 1, "　　草稿 12 份，以下草时的成交价为准，以下草时 LG-5 的差额", {"ocr": "true"}))
+    got = repaired(spark.createDataFrame(rows, "doc_id string, page_num int, text string, metadata map<string,string>"))
+    assert [r.clean for r in got.where("doc_id = 'x'").collect()] == ["草稿 12 份，以下单时的成交价为准，以下单时 LG-5 的差额"]
+    # pages without misreadings keep every character
+    clean = {r.clean.replace("\n", "") for r in got.where("doc_id <> 'x'").collect()}
+    assert clean == {"以下单时的成交价为准，差额折成积分，以下单时 AB-5 的差额。" * 20}
 
 
 def test_repair_of_every_version(spark):
@@ -94,6 +131,10 @@ def test_automaton_against_brute_force():
             assert {(w, d) for w, d, _ in trie.within(q, most)} == {(w, distance(q, w)) for w in words if distance(q, w) <= most}
 
 
+def test_edits():
+    assert edit("hours", "bours") == (0, "h", "b") and edit("month", "rnonth") == (0, "m", "rn") and edit("a", "aa") == (1, "", "a")
+
+
 def test_small_parts():
     assert [page_number(x) for x in ("- 3 -", "iv", "第四十五页", "Page 2 of 9", "共7页 第1页", "〔12〕", "3 kg", "第三章")] == [3, 4, 45, 2, 1, 12, None, None]
     assert joins_next("an exchange is com-", "pleted") and joins_next("the self-", "service desk") and not joins_next("party -", "the") and not joins_next("LG-", "12") and not joins_next("a code X9-", "abc")
