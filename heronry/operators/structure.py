@@ -1,19 +1,17 @@
 """Structure of documents: headings, sections, lists, chunks, windows of chunks.
 
-Lines are exploded with their place; sections are running sums over them.  Only the packing of
-sentences into chunks needs a fold in Python; it runs on one section at a time, in Arrow batches.
+Lines are exploded with their place; sections are running sums over them; sentences are packed into
+chunks by a fold over the ordered sentences of a section.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from heronry.functions.text import strip
+
 #: Children of a parent window and the step between windows; size of a child; shortest tail of a paragraph; shortest sentence.
 WINDOW, STRIDE, CHILD_CHARS, LEAST_TAIL, LEAST_SENTENCE = 6, 3, 800, 100, 20
 #: Titles that are no headings.
@@ -48,9 +46,13 @@ def heading_level(line: Column) -> Column:
 
 
 def heading_title(line: Column) -> Column:
-    """The heading up to its first sentence end; what follows is text."""
-    plain = F.regexp_replace(line, r"^#{1,6}\s+", "")
-    return F.regexp_extract(plain, r"^([^。！？]*[。！？]?)", 1)
+    """The heading up to its first sentence end, without that mark."""
+    return F.regexp_extract(F.regexp_replace(line, r"^#{1,6}\s+", ""), r"^([^。！？]*)", 1)
+
+
+def heading_rest(line: Column) -> Column:
+    """What follows the first sentence end of a heading line: the first text of its section."""
+    return F.regexp_replace(F.regexp_extract(line, r"^[^。！？]*[。！？](.*)$", 1), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
 def headings(docs: DataFrame, ids: list[str], text: str) -> DataFrame:
@@ -60,19 +62,20 @@ def headings(docs: DataFrame, ids: list[str], text: str) -> DataFrame:
 
 def sections(docs: DataFrame, ids: list[str], text: str) -> DataFrame:
     """ids, section (from 1), level, title, n_lines, chars: text between headings.  Lines before the first heading
-    belong to no section; a document without any heading is one section."""
+    belong to no section; a document without any heading is one section.  Text behind the title on a heading line
+    opens the section."""
     rows = lines(docs, ids, text).withColumn("level", heading_level(F.col("line")))
     doc = Window.partitionBy(*ids).orderBy("line_no")
     rows = rows.withColumn("section", F.sum(F.col("level").isNotNull().cast("int")).over(doc))
     any_ = F.max("section").over(Window.partitionBy(*ids))
     rows = rows.withColumn("n", any_).where("section > 0 or n = 0")
-    body = F.when(F.col("level").isNull(), F.col("line"))
+    body = F.when(F.col("level").isNull(), F.col("line")).otherwise(heading_rest(F.col("line")))
     return rows.groupBy(*ids, "section").agg(
         F.coalesce(F.min("level"), F.lit(1)).alias("level"),
         F.coalesce(F.max(F.when(F.col("level").isNotNull(), heading_title(F.col("line")))), F.lit(NO_HEADING)).alias("title"),
         F.sum(F.when(F.coalesce(body, F.lit("")) != "", 1).otherwise(0)).alias("n_lines"),
         F.sum(F.coalesce(F.length(body), F.lit(0))).alias("chars"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(body, F.lit("")) != "", F.struct("line_no", "line")))), lambda x: x["line"]), "\n").alias("content"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(body, F.lit("")) != "", F.struct("line_no", body.alias("line"))))), lambda x: x["line"]), "\n").alias("content"),
     )
 
 
@@ -100,54 +103,52 @@ def list_items(docs: DataFrame, ids: list[str], text: str) -> DataFrame:
     return rows.withColumn("n", n).where("n >= 3").select(*ids, "kind", "line_no", F.length("line").alias("chars"))
 
 
-def pack(text: str, size: int = CHILD_CHARS) -> list[str]:
-    """Sentences of the paragraphs packed into chunks of at most ``size`` characters (a longer sentence stays whole);
-    short sentences are joined first, and the short rest of a paragraph goes on in the next."""
-    out: list[str] = []
-    rest = ""
-    for para in re.split(r"\n\n", text):
-        parts = [s.strip() for line in para.split("\n") for s in re.findall(rf"[^{_ENDS}]*[{_ENDS}]|[^{_ENDS}]+$", line.strip())]
-        joined: list[str] = []
-        buffer = ""
-        for s in filter(None, parts):
-            buffer = f"{buffer} {s}" if buffer else s
-            if len(buffer) >= LEAST_SENTENCE:
-                joined.append(buffer)
-                buffer = ""
-        if buffer and joined:
-            joined[-1] += " " + buffer
-        elif buffer:
-            joined.append(buffer)
-        if not joined:
-            continue
-        now, rest = rest, ""
-        for s in joined:
-            if now and len(now) + len(s) > size:
-                out.append(now)
-                now = s
-            else:
-                now = f"{now} {s}" if now else s
-        if len(now) < LEAST_TAIL:
-            rest = now
-        else:
-            out.append(now)
-    return out + [rest] * bool(rest)
+def units(paragraph: Column) -> Column:
+    """Sentences of a paragraph, none over a line's end; a short one goes on with the next, the last short one belongs to the one before."""
+    sentence = rf"[^{_ENDS}\n]*[{_ENDS}]|[^{_ENDS}\n]+"
+    found = F.filter(F.transform(F.regexp_extract_all(paragraph, F.lit(sentence), 0), strip), lambda x: x != "")
+    state = lambda done, open_: F.struct(done.alias("done"), open_.alias("open"))
+
+    def add(acc: Column, x: Column) -> Column:
+        more = F.concat(acc["open"], F.when(acc["open"] != "", " ").otherwise(""), x)
+        full = F.length(more) >= LEAST_SENTENCE
+        return state(F.when(full, F.concat(acc["done"], F.array(more))).otherwise(acc["done"]), F.when(full, "").otherwise(more))
+
+    def close(acc: Column) -> Column:
+        n = F.size(acc["done"])
+        last = F.concat(F.slice(acc["done"], 1, n - 1), F.array(F.concat_ws(" ", F.element_at(acc["done"], -1), acc["open"])))
+        return F.when(acc["open"] == "", acc["done"]).when(n == 0, F.array(acc["open"])).otherwise(last)
+
+    return F.aggregate(found, state(_no_texts(), F.lit("")), add, close)
+
+
+def pack(text: Column, size: int = CHILD_CHARS) -> Column:
+    """Chunks of at most ``size`` characters (a longer unit stays whole): a chunk ends where the next unit has no room, and at
+    the end of a paragraph if it has LEAST_TAIL characters.  One fold over the units, each with whether it ends its paragraph."""
+    marked = F.transform(
+        F.transform(F.split(text, "\n\n"), units),
+        lambda p: F.transform(p, lambda u, i: F.struct(u.alias("unit"), (i == F.size(p) - 1).alias("ends"))),
+    )
+    state = lambda out, now: F.struct(out.alias("out"), now.alias("now"))
+
+    def add(acc: Column, x: Column) -> Column:
+        fits = (acc["now"] == "") | (F.length(acc["now"]) + F.length(x["unit"]) <= size)
+        now = F.when(fits, F.concat(acc["now"], F.when(acc["now"] != "", " ").otherwise(""), x["unit"])).otherwise(x["unit"])
+        out = F.when(fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"])))
+        done = x["ends"] & (F.length(now) >= LEAST_TAIL)
+        return state(F.when(done, F.concat(out, F.array(now))).otherwise(out), F.when(done, "").otherwise(now))
+
+    return F.aggregate(F.flatten(marked), state(_no_texts(), F.lit("")), add, lambda acc: F.when(acc["now"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"]))))
+
+
+def _no_texts() -> Column:
+    return F.array().cast("array<string>")
 
 
 def chunks(texts: DataFrame, ids: list[str], title: str, text: str, size: int = CHILD_CHARS) -> DataFrame:
     """ids, chunk_index, content: packed chunks with the title before each."""
-    rows = texts.select(*ids, F.coalesce(title, F.lit("")).alias("__title"), F.col(text).alias("__text")).where("trim(__text) <> ''")
-    names = [*ids, "chunk_index", "content"]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                out += [(*row[: len(ids)], i, f"[章节: {row[-2]}]\n\n{c}") for i, c in enumerate(pack(row[-1], size))]
-            yield pd.DataFrame(out, columns=names)
-
-    return rows.mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in ids), "chunk_index int", "content string"]))
+    rows = texts.where(F.trim(text) != "").select(*ids, F.coalesce(title, F.lit("")).alias("__title"), F.posexplode(pack(F.col(text), size)).alias("chunk_index", "__chunk"))
+    return rows.select(*ids, "chunk_index", F.concat(F.lit("[章节: "), F.col("__title"), F.lit("]\n\n"), F.col("__chunk")).alias("content"))
 
 
 def parent_windows(children: DataFrame, doc: str = "doc_id", order: str = "place", width: int = WINDOW, stride: int = STRIDE) -> DataFrame:

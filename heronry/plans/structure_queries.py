@@ -58,11 +58,26 @@ h AS (SELECT *, CASE WHEN """ + " OR ".join(f"contains(lower(line), '{t}')" for
  WHEN regexp_matches(line, '^第[一二三四五六七八九十百千0-9]+章') THEN 1 WHEN regexp_matches(line, '^第[一二三四五六七八九十百千0-9]+节') THEN 2
  WHEN regexp_matches(line, '^[0-9]+\\.[0-9]+\\.[0-9]+\\s') THEN 3 WHEN regexp_matches(line, '^[0-9]+\\.[0-9]+\\s') THEN 2
  WHEN regexp_matches(line, '^[0-9]+\\s') AND length(line) < 60 THEN 1 WHEN regexp_matches(line, '^[一二三四五六七八九十]+、\\s') THEN 1 END AS level FROM l),
-t AS (SELECT *, regexp_extract(regexp_replace(line, '^#{1,6}\\s+', ''), '^([^。！？]*[。！？]?)', 1) AS title FROM h)"""
+t AS (SELECT *, regexp_extract(regexp_replace(line, '^#{1,6}\\s+', ''), '^([^。！？]*)', 1) AS title,
+ CASE WHEN level IS NULL THEN line ELSE regexp_replace(regexp_extract(line, '^[^。！？]*[。！？](.*)$', 1), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') END AS body FROM h)"""
 _S = _L + """, s0 AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, doc_version ORDER BY line_no) AS section FROM t),
 s1 AS (SELECT *, max(section) OVER (PARTITION BY doc_id, doc_version) AS mx FROM s0),
 s AS (SELECT doc_id, doc_version, section, coalesce(min(level), 1) AS level, coalesce(max(CASE WHEN level IS NOT NULL THEN title END), '正文') AS title,
- sum(CASE WHEN level IS NULL AND line <> '' THEN 1 ELSE 0 END) AS n_lines, sum(CASE WHEN level IS NULL THEN length(line) ELSE 0 END) AS chars FROM s1 WHERE section > 0 OR mx = 0 GROUP BY 1, 2, 3)"""
+ sum(CASE WHEN body <> '' THEN 1 ELSE 0 END) AS n_lines, sum(length(body)) AS chars FROM s1 WHERE section > 0 OR mx = 0 GROUP BY 1, 2, 3)"""
+_TEXTS = _S + """, ct AS (SELECT doc_id, doc_version, section, coalesce(max(CASE WHEN level IS NOT NULL THEN title END), '正文') AS title, string_agg(body, chr(10) ORDER BY line_no) FILTER (body <> '') AS content FROM s1 WHERE section > 0 OR mx = 0 GROUP BY 1, 2, 3)"""
+_STRIP = "regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_SENT = "list_filter(list_transform(regexp_extract_all(p, '[^。！？；!?;\n]*[。！？；!?;]|[^。！？；!?;\n]+'), lambda x: " + _STRIP.format(c="x") + "), lambda x: x <> '')"
+#: The folds of the operator in SQL: the state has the type of the elements.
+_CHUNKS = _TEXTS + f""", pg AS (SELECT doc_id, doc_version, section, title, unnest(string_split(content, chr(10) || chr(10))) AS p, generate_subscripts(string_split(content, chr(10) || chr(10)), 1) AS k FROM ct WHERE trim(content) <> ''),
+sn AS (SELECT *, list_transform({_SENT}, lambda x: struct_pack(done := CAST([] AS VARCHAR[]), o := x)) AS e FROM pg),
+fu AS (SELECT *, list_reduce(e, lambda a, x: CASE WHEN length(concat_ws(' ', nullif(a.o, ''), x.o)) >= 20 THEN struct_pack(done := list_append(a.done, concat_ws(' ', nullif(a.o, ''), x.o)), o := '') ELSE struct_pack(done := a.done, o := concat_ws(' ', nullif(a.o, ''), x.o)) END, struct_pack(done := CAST([] AS VARCHAR[]), o := '')) AS f FROM sn),
+un AS (SELECT doc_id, doc_version, section, title, k, CASE WHEN f.o = '' THEN f.done WHEN len(f.done) = 0 THEN [f.o] ELSE list_append(f.done[1:len(f.done) - 1], f.done[-1] || ' ' || f.o) END AS u FROM fu),
+al AS (SELECT doc_id, doc_version, section, title, flatten(list(list_transform(u, lambda x, i: struct_pack(done := CAST([] AS VARCHAR[]), now := x, fin := i = len(u))) ORDER BY k)) AS e FROM un GROUP BY 1, 2, 3, 4),
+fo AS (SELECT *, list_reduce(e, lambda a, x: CASE WHEN a.now = '' OR length(a.now) + length(x.now) <= 800
+  THEN CASE WHEN x.fin AND length(concat_ws(' ', nullif(a.now, ''), x.now)) >= 100 THEN struct_pack(done := list_append(a.done, concat_ws(' ', nullif(a.now, ''), x.now)), now := '', fin := false) ELSE struct_pack(done := a.done, now := concat_ws(' ', nullif(a.now, ''), x.now), fin := false) END
+  ELSE CASE WHEN x.fin AND length(x.now) >= 100 THEN struct_pack(done := list_append(list_append(a.done, a.now), x.now), now := '', fin := false) ELSE struct_pack(done := list_append(a.done, a.now), now := x.now, fin := false) END END, struct_pack(done := CAST([] AS VARCHAR[]), now := '', fin := false)) AS f FROM al),
+cl AS (SELECT doc_id, doc_version, section, title, CASE WHEN f.now = '' THEN f.done ELSE list_append(f.done, f.now) END AS c FROM fo),
+ch AS (SELECT doc_id, doc_version, section, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_index, '[章节: ' || title || ']' || chr(10) || chr(10) || unnest(c) AS content FROM cl)"""
 _PLACES = "p AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index NULLS LAST, child_id) - 1 AS j FROM (SELECT DISTINCT doc_id, child_id, chunk_index, content FROM child_chunks WHERE doc_id IS NOT NULL))"
 
 QUERIES = {
@@ -76,7 +91,7 @@ QUERIES = {
         q_list_items,
         f"WITH {_L}, k AS (SELECT *, CASE WHEN regexp_matches(line, '^[0-9]+[.、:：]\\s*\\S') THEN 'number' WHEN regexp_matches(line, '^[一二三四五六七八九十]+、') THEN 'han' WHEN regexp_matches(line, '^【[^】]*[0-9]+[^】]*】') THEN 'bracket' WHEN regexp_matches(line, '^[①②③④⑤⑥⑦⑧⑨⑩]') THEN 'circle' WHEN regexp_matches(line, '^#{{3,}}\\s*[0-9]+\\.[0-9]+') THEN 'heading' END AS kind FROM l) SELECT doc_id, doc_version, kind, line_no, length(line) AS chars FROM k WHERE kind IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, doc_version, kind) >= 3",
     ),
-    "q_child_chunks": (q_child_chunks, None),
+    "q_child_chunks": (q_child_chunks, f"WITH {_CHUNKS} SELECT doc_id, doc_version, section, chunk_index, length(content) AS chars, md5(content) AS content_md5 FROM ch"),
     "q_parent_windows": (
         q_parent_windows,
         f"WITH {_PLACES}, w AS (SELECT doc_id, j, content, unnest(range(greatest(0, CAST(ceil((j - 5) / 3.0) AS BIGINT)), j // 3 + 1)) AS win FROM p) SELECT doc_id, win, min(j) AS first, max(j) AS last, count(*) AS n, sum(length(content)) AS chars FROM w GROUP BY 1, 2",

@@ -64,16 +64,53 @@ def test_sections_and_paths(spark):
     df = spark.createDataFrame([(1, text), (2, "no heading"), (3, None), (4, "")], "id int, text string")
     found = structure.sections(df, ["id"], "text")
     got = {(r.id, r.section): r.path for r in structure.section_paths(found, ["id"]).collect()}
-    assert got[1, 1] == "A" and got[1, 2] == "A · B。" and got[1, 3] == "A · B。 · C" and got[1, 5] == "D · E" and got[2, 0] == "正文"
-
-
-def test_packing_keeps_every_character():
+    assert got[1, 1] == "A" and got[1, 2] == "A · B" and got[1, 3] == "A · B · C" and got[1, 5] == "D · E" and got[2, 0] == "正文"
+    # what stands behind the title on its line opens the section
+    assert {(r.id, r.section): r.content for r in found.collect()}[1, 2] == "tail\n目录".replace("目录", "# 目录")
+
+
+def packed(text, size, least_unit=20, least_tail=100):
+    """The packing by hand, sentence by sentence."""
+    chunks, now = [], ""
+    for para in text.split("\n\n"):
+        sentences, word = [], ""
+        for ch in para + "\n":
+            word += "" if ch == "\n" else ch
+            if ch in "。！？；!?;\n":
+                sentences += [word.strip()] if word.strip() else []
+                word = ""
+        units, short = [], ""
+        for s in sentences:
+            short = (short + " " + s).strip()
+            if len(short) >= least_unit:
+                units.append(short)
+                short = ""
+        if short:
+            units = [*units[:-1], f"{units[-1]} {short}"] if units else [short]
+        for u in units:
+            if now and len(now) + len(u) > size:
+                chunks.append(now)
+                now = u
+            else:
+                now = f"{now} {u}" if now else u
+        if len(now) >= least_tail and units:
+            chunks.append(now)
+            now = ""
+    return chunks + [now] * bool(now)
+
+
+def test_packing_against_brute_force(spark):
     rnd = random.Random(3)
-    for _ in range(50):
-        text = "".join(rnd.choice("甲乙丙丁。！\n ab") for _ in range(rnd.randrange(1500)))
-        out = structure.pack(text, 60)
-        squeeze = lambda s: "".join(s.split())
-        assert squeeze("".join(out)) == squeeze(text)
+    texts = ["".join(rnd.choice("甲乙丙丁。！\n ab") for _ in range(rnd.randrange(1500))) for _ in range(40)]
+    texts += ["一二三四五。" * 200, "short", "。", "x" * 900 + "。y。", "\n\n\n\n", "a。\n\nb。\n\n" + "长" * 120, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for size in (60, 200):
+        for r in df.select("text", structure.pack(F.col("text"), size).alias("c")).collect():
+            assert r.c == packed(r.text, size)
+            squeeze = lambda s: "".join(s.split())
+            assert squeeze("".join(r.c)) == squeeze(r.text)
+    out = structure.chunks(df.withColumn("title", F.lit("T")), ["id"], "title", "text").where("id = 41").collect()
+    assert [(r.chunk_index, r.content) for r in out] == [(0, "[章节: T]\n\nshort")]
 
 
 def test_repeats_and_memory(spark):
