@@ -12,13 +12,18 @@ from pyspark.sql.window import Window
 
 #: Seconds of the sliding window, and records of the ring that the reports look back on.
 WINDOW_S, RING = 60.0, 1000
+#: Ranges of values to a doubling, in the search for ranks.
+STEPS = 32
 SLOW_MS, WARN_MS, FAST_MS, IDLE_S = 1000.0, 5000.0, 3000.0, 300.0
 
 
-def records(requests: DataFrame) -> DataFrame:
-    """Each record once; the agent falls back to the endpoint."""
+def records(requests: DataFrame, *columns: str) -> DataFrame:
+    """Each record once, its id and the named columns (all without any); ``who`` is the agent, or the endpoint without one.
+
+    Repeated rows are complete copies, so the id and what a report reads tell them: nothing else is shuffled."""
     agent = F.coalesce(F.when(F.trim("agent") != "", F.trim("agent")), F.when(F.trim("endpoint") != "", F.trim("endpoint")), F.lit("unknown"))
-    return requests.distinct().withColumn("who", agent)
+    rows = requests.withColumn("who", agent)
+    return (rows.select("request_id", *columns) if columns else rows).distinct()
 
 
 def last(rows: DataFrame, n: int = RING) -> DataFrame:
@@ -50,7 +55,7 @@ def snapshot(rows: DataFrame, as_of: float | None = None) -> DataFrame:
 def tokens_by(rows: DataFrame, key: str = "who") -> DataFrame:
     """Tokens, requests, mean and share of each key; shares add up over the grouped rows only."""
     per = rows.groupBy(key).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("requests"))
-    whole = F.sum("tokens").over(Window.partitionBy())
+    whole = per.agg(F.sum("tokens").alias("t")).scalar()
     return per.select(key, "tokens", "requests", F.round(F.col("tokens") / F.col("requests"), 0).alias("avg_tokens"), F.when(whole > 0, F.round(F.col("tokens") * 100.0 / whole, 1)).otherwise(0.0).alias("pct"))
 
 
@@ -61,13 +66,26 @@ def tokens_by_minute(rows: DataFrame) -> DataFrame:
 def at_rank(rows: DataFrame, by: list[str], value: Column, ps: dict[str, float]) -> DataFrame:
     """Of each group the value at place floor(n * p) of the ascending order, from 0, and count, mean, least and most.
 
-    Equal values are counted together first, so a hot group is as large as its distinct values, and the
-    window only runs over those."""
+    Two levels: counts per range of values (STEPS of them to a doubling, so a group has a bounded number) tell which
+    range holds a rank; only the values of those ranges are put in order, each range by itself.  A null key is a group
+    of its own; null values do not count; a group without values has no row."""
     cells = rows.select(*by, value.alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("n"))
+    cells = cells.withColumn("range", (F.signum("v") * F.floor(F.log2(1 + F.abs("v")) * STEPS)).cast("long"))
+    ranges = cells.groupBy(*by, "range").agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("total"), F.min("v").alias("least"), F.max("v").alias("most"))
     group = Window.partitionBy(*by)
-    cells = cells.withColumns({"upto": F.sum("n").over(group.orderBy("v")), "whole": F.sum("n").over(group)})
-    hit = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("whole") * p), F.col("v")))
-    return cells.groupBy(*by).agg(F.sum("n").alias("n"), F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 1).alias("avg"), F.min("v").alias("least"), F.max("v").alias("most"), *[hit(p).alias(k) for k, p in ps.items()])
+    placed = ranges.withColumns({"below": F.sum("n").over(group.orderBy("range")) - F.col("n"), "whole": F.sum("n").over(group)})
+    asked = placed.select(*by, "range", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), (F.floor(F.col("whole") * p) - F.col("below")).cast("long").alias("at")) for k, p in ps.items()])).alias("p"), "n")
+    asked = asked.where("p.at >= 0 and p.at < n").select(*[F.col(c).alias(f"_{c}") for c in by], F.col("range").alias("_range"), "p.name", "p.at")
+    same = F.col("range") == F.col("_range")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    near = cells.join(asked, same).withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "range", "name").orderBy("v")))
+    hits = near.where(F.col("upto") > F.col("at")).groupBy(*by).agg(*[F.min(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ps])
+    whole = ranges.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 1).alias("avg"), F.min("least").alias("least"), F.max("most").alias("most"))
+    keys = F.lit(True)
+    for c in by:
+        keys = keys & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return whole.join(hits, keys).select(*by, "n", "avg", "least", "most", *ps)
 
 
 def quality(rows: DataFrame) -> DataFrame:
@@ -100,7 +118,20 @@ def sessions(rows: DataFrame, as_of: float | None = None) -> DataFrame:
     return per.withColumns({"idle_s": idle, "idle": text, "dead": idle > IDLE_S})
 
 
-def activity_windows(rows: DataFrame, gap: str = "300 seconds") -> DataFrame:
-    """Stretches of activity of a session: a pause of ``gap`` ends one."""
-    rows = rows.where("session_id is not null and session_id <> '' and ts is not null").withColumn("at", F.timestamp_micros(F.floor(F.col("ts") * 1e6).cast("long")))
-    return rows.groupBy("session_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("requests")).select("session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "requests")
+def activity_windows(rows: DataFrame, gap_s: float = 300.0, slot_s: float = 3600.0) -> DataFrame:
+    """session_id, started, ended, requests: stretches of activity; a pause of ``gap_s`` seconds ends one, and its end is that
+    much after its last record.
+
+    A session is cut into slots of time, so that a hot one is many groups; the slots then tell each other their last record
+    and how many stretches they begin, one row a slot."""
+    rows = rows.where("session_id is not null and session_id <> '' and ts is not null").withColumn("at", F.floor(F.col("ts") * 1e6).cast("long"))
+    rows = rows.withColumn("slot", F.floor(F.col("at") / (slot_s * 1e6)).cast("long"))
+    gap = int(gap_s * 1e6)
+    inner = Window.partitionBy("session_id", "slot").orderBy("at")
+    rows = rows.withColumn("breaks", (F.col("at") - F.lag("at").over(inner) >= gap).cast("int")).withColumn("k", F.coalesce(F.sum("breaks").over(inner.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    parts = rows.groupBy("session_id", "slot", "k").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count("*").alias("n"))
+    # one row for each stretch of a slot; the first of a slot can go on with the last of the slot before
+    outer = Window.partitionBy("session_id").orderBy("slot", "k")
+    parts = parts.withColumn("opens", F.coalesce((F.col("a") - F.lag("b").over(outer) >= gap).cast("int"), F.lit(1))).withColumn("w", F.sum("opens").over(outer))
+    out = parts.groupBy("session_id", "w").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("requests"))
+    return out.select("session_id", F.timestamp_micros("a").alias("started"), F.timestamp_micros(F.col("b") + gap).alias("ended"), "requests")

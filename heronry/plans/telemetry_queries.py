@@ -10,16 +10,16 @@ from heronry.tables import table
 _R = "r AS (SELECT DISTINCT *, coalesce(nullif(trim(agent), ''), nullif(trim(endpoint), ''), 'unknown') AS who, CASE WHEN duration_ms > 0 AND NOT isnan(duration_ms) AND NOT isinf(duration_ms) THEN duration_ms END AS ms FROM requests)"
 
 
-def _rows(spark, d):
-    return tm.records(table(spark, d, "requests"))
+def _rows(spark, d, *columns):
+    return tm.records(table(spark, d, "requests"), *columns)
 
 
 def q_metrics_snapshot(spark, d):
-    return tm.snapshot(_rows(spark, d))
+    return tm.snapshot(_rows(spark, d, "ts", "session_id", "duration_ms", "status", "tokens"))
 
 
 def q_ring_snapshot(spark, d):
-    return tm.snapshot(tm.last(_rows(spark, d)))
+    return tm.snapshot(tm.last(_rows(spark, d, "ts", "session_id", "duration_ms", "status", "tokens")))
 
 
 def _snapshot_sql(src: str) -> str:
@@ -30,23 +30,23 @@ SELECT count(*) AS total_requests, count(DISTINCT nullif(session_id, '')) AS act
 
 
 def q_tokens_by_agent(spark, d):
-    return tm.tokens_by(_rows(spark, d))
+    return tm.tokens_by(_rows(spark, d, "who", "tokens"))
 
 
 def q_tokens_by_minute(spark, d):
-    return tm.tokens_by_minute(_rows(spark, d))
+    return tm.tokens_by_minute(_rows(spark, d, "ts", "tokens"))
 
 
 _PS = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 
 
 def q_latency_distribution(spark, d):
-    return tm.at_rank(_rows(spark, d), ["status"], tm.measured(), _PS)
+    return tm.at_rank(_rows(spark, d, "status", "duration_ms"), ["status"], tm.measured(), _PS)
 
 
 def q_agent_performance(spark, d):
     """Every agent that was seen, with the latency of the last hour; an agent without records in it has zeros."""
-    rows = _rows(spark, d)
+    rows = _rows(spark, d, "who", "ts", "duration_ms")
     newest = rows.agg(F.max("ts").alias("m")).scalar()
     hour = tm.at_rank(rows.where(F.col("ts") >= newest - 3600), ["who"], tm.measured(), {"p50": 0.5, "p99": 0.99})
     return rows.select("who").distinct().join(hour, "who", "full_outer").fillna(0).select("who", "n", "avg", "p50", "p99", "most")
@@ -60,29 +60,29 @@ g AS (SELECT {by}, CAST(sum(k) AS BIGINT) AS n, round(sum(ms * k) / sum(k), 1) A
 
 
 def q_quality_proxy(spark, d):
-    return tm.quality(_rows(spark, d))
+    return tm.quality(_rows(spark, d, "status", "duration_ms"))
 
 
 def q_slow_top10(spark, d):
-    return tm.slowest(_rows(spark, d))
+    return tm.slowest(_rows(spark, d, "endpoint", "duration_ms", "status"))
 
 
 def q_log_levels(spark, d):
-    rows = _rows(spark, d).withColumn("level", tm.log_level())
+    rows = _rows(spark, d, "ts", "status", "duration_ms").withColumn("level", tm.log_level())
     return rows.groupBy("level", F.to_date(F.timestamp_seconds(F.floor("ts"))).cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
 def q_sessions(spark, d):
-    return tm.sessions(_rows(spark, d))
+    return tm.sessions(_rows(spark, d, "session_id", "ts", "tokens", "duration_ms", "status"))
 
 
 def q_activity_windows(spark, d):
-    return tm.activity_windows(_rows(spark, d))
+    return tm.activity_windows(_rows(spark, d, "session_id", "ts"))
 
 
 def q_late_arrivals(spark, d):
     """Records by days between the event and its arrival."""
-    rows = _rows(spark, d).where("ts is not null and ingested_at is not null")
+    rows = _rows(spark, d, "ts", "ingested_at").where("ts is not null and ingested_at is not null")
     days = F.floor((F.unix_micros("ingested_at") / 1e6 - F.col("ts")) / 86400).cast("int")
     return rows.groupBy(days.alias("days_late")).agg(F.count("*").alias("n"))
 
