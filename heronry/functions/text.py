@@ -15,10 +15,11 @@ ONE_TO_ONE = ("‘’“”– ", "''\"\"- ")
 ONE_TO_MANY = (("—", "--"), ("…", "..."), ("�", ""))
 # Two-character words that carry no meaning for search.
 STOP_WORDS = (
-    "可以 一个 一些 这样 那样 如何 什么 哪些 哪里 已经 所以 但是 然而 而且 并且 或者 虽然 尽管 如果 那么 我们 你们 他们 它们 这个 那个 这些 那些 自己 一下 一种 一定 一起 一直 "
-    "仍然 依然 还是 其实 因此 然后 后来 以前 以后 现在 刚刚 通过 进行 实现 完成 开始 结束 提供 使用 采用 包括 以及 相关 相应 需要 要求 可能 应该 必须 关于 对于 按照 根据 由于 基于 "
-    "针对 随着 没有 公司 工作 业务 发展 情况 问题 方面 部分"
-).split()
+    "可以", "一个", "一些", "这样", "那样", "如何", "什么", "哪些", "哪里", "已经", "所以", "但是", "然而", "而且", "并且", "或者", "虽然", "尽管", "如果", "那么", "我们", "你们", "他们", "它们",
+    "这个", "那个", "这些", "那些", "自己", "一下", "一种", "一定", "一起", "一直", "仍然", "依然", "还是", "其实", "因此", "然后", "后来", "以前", "以后", "现在", "刚刚", "通过", "进行", "实现",
+    "完成", "开始", "结束", "提供", "使用", "采用", "包括", "以及", "相关", "相应", "需要", "要求", "可能", "应该", "必须", "关于", "对于", "按照", "根据", "由于", "基于", "针对", "随着", "没有",
+    "公司", "工作", "业务", "发展", "情况", "问题", "方面", "部分",
+)
 EDGE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
@@ -82,8 +83,7 @@ def tokens(c: Column) -> Column:
     words = F.filter(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9]+"), 0), lambda w: (F.length(w) >= 2) & w.rlike("[A-Za-z]"))
     runs = F.regexp_extract_all(c, F.lit(r"[\x{4e00}-\x{9fff}]{2,}"), 0)
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, 2))))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.concat(words, F.filter(pairs, lambda p: ~F.array_contains(stop, p)))
+    return F.concat(words, F.filter(pairs, lambda p: ~p.isin(*STOP_WORDS)))
 
 
 def key_phrases(c: Column) -> Column:

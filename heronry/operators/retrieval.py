@@ -5,8 +5,6 @@ Queries are a table, so every step is one set-wise job; nothing loops over singl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,13 +15,18 @@ from heronry.functions.text import tokens
 
 #: Saturation of term counts, entries kept of a text, constant of rank fusion.
 SATURATION, MOST_TERMS, RRF_C = 1.5, 128, 60
-#: Vectors of a query block that is sent to the tasks at once.
-BLOCK = 4096
+#: Share of all texts beyond which a token is a hot key.
+HOT_SHARE = 0.02
+#: Query vectors and corpus vectors that meet in one task.
+BLOCK, PART = 4096, 50_000
 
 
 def term_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, token, tf: the share of a text's tokens; null and empty texts have none."""
-    each = texts.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("all")).where("size(all) > 0")
+    """id, token, tf: the share of a text's tokens; null and empty texts have none.
+
+    The texts are spread by their id; that partitioning also serves the count, so nothing else is shuffled."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(n, "id").select("id", tokens(F.col("text")).alias("all")).where("size(all) > 0")
     return each.select("id", F.size("all").alias("length"), F.explode("all").alias("token")).groupBy("id", "token", "length").agg(F.count("*").alias("n")).select("id", "token", (F.col("n") / F.col("length")).alias("tf"))
 
 
@@ -36,10 +39,19 @@ def inverse_frequency(df: Column, n: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
+def with_frequency(terms: DataFrame, df: DataFrame, n: Column, share: float = HOT_SHARE) -> DataFrame:
+    """terms with df.  Tokens of more than ``share`` of all texts are hot keys: there are at most (tokens of a text) / share of
+    them, so they are broadcast; the others are joined by shuffle, without the rows of the hot ones."""
+    hot = df.where(F.col("df") > n * share)
+    marked = terms.join(F.broadcast(hot.withColumnRenamed("df", "hot")), "token", "left")
+    rest = marked.where("hot is null").drop("hot").join(df.where(F.col("df") <= n * share), "token")
+    return marked.where("hot is not null").withColumnRenamed("hot", "df").unionByName(rest)
+
+
 def weights(terms: DataFrame, df: DataFrame, n: Column, most: int = MOST_TERMS) -> DataFrame:
     """id, token, weight: saturated share times inverse document frequency, the ``most`` heaviest of each text."""
     w = F.col("tf") * (SATURATION + 1) / (F.col("tf") + SATURATION) * inverse_frequency(F.col("df"), n)
-    heavy = terms.join(df, "token").select("id", "token", F.round(w, 9).alias("weight"))
+    heavy = with_frequency(terms, df, n).select("id", "token", F.round(w, 9).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "token"))
     return heavy.withColumn("r", rank).where(F.col("r") <= most).drop("r")
 
@@ -65,29 +77,22 @@ def sparse_search(q: DataFrame, w: DataFrame, k: int) -> DataFrame:
 def dense_search(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "cosine") -> DataFrame:
     """query_id, id, score, rank: exact nearest vectors.
 
-    Query vectors go to the tasks in blocks of BLOCK; each batch of the corpus is multiplied with a
-    block at once and keeps its k best per query, so that what is shuffled grows with the batches and
-    not with pairs.  Null vectors, and zero vectors with the cosine, are never found.
+    Queries are dealt into blocks and the corpus into parts; each block meets each part in one task, which multiplies
+    the two and keeps the k best of each query.  What is shuffled besides is the corpus once for each block of
+    queries.  Null vectors, and zero vectors with the cosine, are never found.
     """
-    spark = queries.sparkSession
-    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("v is not null").orderBy("id")
-    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("v is not null")
-    out, block = None, []
-
-    def send(block: list) -> DataFrame:
-        ids = np.array([r.id for r in block])
-        m = _unit(np.array([r.v for r in block], np.float64), metric)
-        shared = spark.sparkContext.broadcast((ids, m))
-        return rows.mapInPandas(_nearest(shared, k, metric), "query_id long, id long, score double")
-
-    for r in q.toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            out, block = (send(block) if out is None else out.unionByName(send(block))), []
-    if block or out is None:
-        part = send(block) if block else spark.createDataFrame([], "query_id long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return top(out, k)
+    one = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
+    q, rows = one(queries), one(corpus)
+    n_blocks = max(1, -(-q.count() // BLOCK))
+    n = rows.count()
+    n_parts = max(1, -(-n // PART), min(queries.sparkSession.sparkContext.defaultParallelism, -(-n // 500)))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("block", deal(n_blocks)).withColumn("part", every(n_parts))
+    right = rows.withColumn("part", deal(n_parts)).withColumn("block", every(n_blocks))
+    right = right.toDF(*right.columns)  # columns of their own, also where one table is both sides
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(_nearest(k, metric), "query_id long, id long, score double")
+    return top(found, k)
 
 
 def _unit(m: np.ndarray, metric: str) -> np.ndarray:
@@ -97,20 +102,21 @@ def _unit(m: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
 
 
-def _nearest(shared, k: int, metric: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = _unit(np.array(pdf["v"].tolist(), np.float64), metric)
-            own = pdf["id"].to_numpy()
-            s = np.round(q @ m.T, 6)
+def _nearest(k: int, metric: str):
+    def run(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(corpus):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+        own, ids = corpus["id"].to_numpy(), queries["id"].to_numpy()
+        m = _unit(np.array(corpus["v"].tolist(), np.float64), metric)
+        out = []
+        for a in range(0, len(ids), 256):  # a slice of queries bounds the matrix of scores
+            s = np.round(_unit(np.array(queries["v"].iloc[a : a + 256].tolist(), np.float64), metric) @ m.T, 6)
             s[np.isnan(s)] = -np.inf
             # all that tie with the k-th stay: the window decides between them
-            cut = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(ids), -np.inf)
+            cut = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
             at = np.nonzero((s >= cut[:, None]) & (s > -np.inf))
-            yield pd.DataFrame({"query_id": ids[at[0]], "id": own[at[1]], "score": s[at]})
+            out.append(pd.DataFrame({"query_id": ids[a + at[0]], "id": own[at[1]], "score": s[at]}))
+        return pd.concat(out)
 
     return run
 
