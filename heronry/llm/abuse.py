@@ -20,21 +20,26 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronry.tables import exists, shared_dir
+
 #: Rated documents and windows (in one phase) that the network is fitted on, at most.
 MAX_DOCS, MAX_WINDOWS = 6000, 6000
 WIDTH, STRIDE = 40, 20
 SIZE, HIDDEN, CHARS, WORDS = 24, 24, 1 << 13, 1 << 13
 EPOCHS, BATCH, RATE = 9, 96, 6e-3
+#: Letters of a step; a longer word is several steps.
+LETTERS = 24
 THRESHOLD = 0.5
 
-#: Unrated documents with words of the lexicon that are taken beside the rated ones, at most.
-MAX_EXTRA = 1500
+#: Characters of a rated document that the network is fitted on, at most; longer ones are scored, but teach nothing.
+MAX_CHARS = 20_000
 
 #: Strong words that start the search for the cause within a document.
 LEXICON = (
@@ -60,15 +65,25 @@ def plain(text: str) -> str:
 
 
 def steps(text: str) -> list[str]:
-    return ["0" if t[0].isdigit() else t for t in _STEP.findall(text)]
+    """Chinese characters, words, signs; a word of more than LETTERS letters is as many steps as it needs."""
+    out = []
+    for t in _STEP.findall(text):
+        if t[0].isdigit():
+            out.append("0")
+        elif len(t) > LETTERS:
+            out += [t[i : i + LETTERS] for i in range(0, len(t), LETTERS)]
+        else:
+            out.append(t)
+    return out
 
 
+@lru_cache(maxsize=1 << 17)
 def _ids(token: str, nxt: str) -> tuple[int, list[int]]:
     """(word input, character inputs)."""
     if len(token) == 1:
         pair = token + (nxt if len(nxt) == 1 else "")
         return zlib.crc32(("w" + pair).encode("utf-8", "surrogatepass")) % WORDS, [zlib.crc32(token.encode("utf-8", "surrogatepass")) % CHARS]
-    padded = f"<{token[:24]}>"
+    padded = f"<{token}>"
     return zlib.crc32(("w" + token).encode()) % WORDS, [zlib.crc32(padded[i : i + 3].encode()) % CHARS for i in range(len(padded) - 2)]
 
 
@@ -88,10 +103,14 @@ class Network:
         for d in "fb":
             self.p |= {f"w{d}": f(SIZE, 3 * HIDDEN, k=SIZE**-0.5), f"u{d}": f(HIDDEN, 3 * HIDDEN, k=HIDDEN**-0.5), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def embed(self, words: np.ndarray, chars: np.ndarray, n_chars: np.ndarray) -> np.ndarray:
-        """chars: as many columns as the longest token has, -1 where it has fewer."""
-        got = self.p["chars"][np.maximum(chars, 0)] * (chars >= 0)[..., None]
-        return self.p["words"][words] + got.sum(-2) / np.maximum(n_chars, 1)[..., None]
+    def embed(self, words: np.ndarray, chars: np.ndarray, owners: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The word input of each step and the mean of its character inputs.  ``chars`` lists the character inputs of one
+        step after the other; ``owners`` are their numbers and the places of the steps."""
+        counts, at = owners
+        out = self.p["words"][words]
+        if len(at):
+            out.reshape(-1, SIZE)[at] += np.add.reduceat(self.p["chars"][chars], np.cumsum(counts) - counts) / counts[:, None].astype(out.dtype)
+        return out
 
     def _gru(self, d: str, xw: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """xw: (steps, batch, 3H) inputs; the state stands still where the mask is 0."""
@@ -125,9 +144,9 @@ class Network:
         logit = pooled @ self.p["wo"] + self.p["bo"]
         return (logit, (traces, h, a, att, pooled)) if keep else logit
 
-    def gradients(self, words, chars, n_chars, mask, y, weight):
+    def gradients(self, words, chars, owners, mask, y, weight):
         """Cross-entropy gradients by back-propagation through time; words and mask are (steps, batch)."""
-        p, x = self.p, self.embed(words, chars, n_chars)
+        p, x = self.p, self.embed(words, chars, owners)
         logit, (traces, h, a, att, pooled) = self.forward(x, mask, keep=True)
         d_logit = ((1 / (1 + np.exp(-logit)) - y) * weight / len(y)).astype(np.float32)
         g = {"wo": pooled.T @ d_logit, "bo": d_logit.sum(keepdims=True)}
@@ -136,29 +155,29 @@ class Network:
         d_e = att * (d_att - (att * d_att).sum(0))
         d_a = d_e[..., None] * p["va"] * (1 - a * a)
         g["va"] = (a * d_e[..., None]).sum((0, 1))
-        g["wa"] = np.einsum("tbi,tbj->ij", h, d_a)
+        g["wa"] = h.reshape(-1, 2 * HIDDEN).T @ d_a.reshape(-1, HIDDEN)
         d_h = att[..., None] * d_pool + d_a @ p["wa"].T
         d_x = np.zeros_like(x)
         for k, d in enumerate("fb"):
             u, du = p[f"u{d}"], np.zeros_like(p[f"u{d}"])
-            d_xw = np.zeros((*x.shape[:2], 3 * HIDDEN), np.float32)
-            back = np.zeros((x.shape[1], HIDDEN), np.float32)
+            d_xw, d_g = np.zeros((*x.shape[:2], 3 * HIDDEN), x.dtype), np.empty((x.shape[1], 3 * HIDDEN), x.dtype)
+            back = np.zeros((x.shape[1], HIDDEN), x.dtype)
             for t, prev, z, r, c, gc in reversed(traces[k]):
                 total = back + d_h[t, :, k * HIDDEN : (k + 1) * HIDDEN]
                 m = mask[t][:, None]
-                d_c = total * m * (1 - z) * (1 - c * c)
-                d_z = -total * m * (c - prev) * z * (1 - z)
-                d_r = d_c * gc * r * (1 - r)
-                d_xw[t] = np.concatenate([d_z, d_r, d_c], 1)
-                d_g = np.concatenate([d_z, d_r, d_c * r], 1)
+                open_ = total * m * (1 - z)
+                d_c = open_ * (1 - c * c)
+                d_xw[t, :, :HIDDEN] = d_g[:, :HIDDEN] = open_ * (prev - c) * z
+                d_xw[t, :, HIDDEN : 2 * HIDDEN] = d_g[:, HIDDEN : 2 * HIDDEN] = d_c * gc * r * (1 - r)
+                d_xw[t, :, 2 * HIDDEN :] = d_c
+                d_g[:, 2 * HIDDEN :] = d_c * r
                 du += prev.T @ d_g
-                back = total * (1 - m * (1 - z)) + d_g @ u.T
-            g[f"u{d}"], g[f"w{d}"], g[f"b{d}"] = du, np.einsum("tbi,tbj->ij", x, d_xw), d_xw.sum((0, 1))
+                back = total - open_ + d_g @ u.T
+            g[f"u{d}"], g[f"w{d}"], g[f"b{d}"] = du, x.reshape(-1, SIZE).T @ d_xw.reshape(-1, 3 * HIDDEN), d_xw.sum((0, 1))
             d_x += d_xw @ p[f"w{d}"].T
         g["words"] = _scatter(words.ravel(), d_x.reshape(-1, SIZE), WORDS)
-        share = (d_x / np.maximum(n_chars, 1)[..., None])[:, :, None, :] * (chars >= 0)[..., None]
-        live = (chars >= 0).ravel()
-        g["chars"] = _scatter(chars.ravel()[live], share.reshape(-1, SIZE)[live], CHARS)
+        counts, at = owners
+        g["chars"] = _scatter(chars, np.repeat(d_x.reshape(-1, SIZE)[at] / counts[:, None], counts, axis=0), CHARS)
         loss = float(np.mean(weight * (np.logaddexp(0, logit) - y * logit)))
         return loss, g
 
@@ -171,18 +190,21 @@ def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _arrays(windows: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """words, chars, n_chars and mask, each (steps, batch, ...)."""
-    n = max(map(len, windows))
-    words, mask = np.zeros((n, len(windows)), np.int64), np.zeros((n, len(windows)), np.float32)
-    ids = [[_ids(t, w[i + 1] if i + 1 < len(w) else "") for i, t in enumerate(w)] for w in windows]
-    most = max((len(c) for w in ids for _, c in w), default=1)
-    chars = np.full((n, len(windows), most), -1, np.int64)
-    for b, w in enumerate(ids):
-        for t, (word, cs) in enumerate(w):
-            words[t, b], mask[t, b] = word, 1
-            chars[t, b, : len(cs)] = cs
-    return words, chars, (chars >= 0).sum(-1).astype(np.float32), mask
+def _arrays(windows: list[list[str]]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """words and mask, (steps, batch); the character inputs of all steps, and how many each step has and where it is."""
+    n, size = max(map(len, windows)), len(windows)
+    words, mask = np.zeros((n, size), np.int64), np.zeros((n, size), np.float32)
+    chars: list[int] = []
+    counts: list[int] = []
+    for b, w in enumerate(windows):
+        ids = [_ids(t, nxt) for t, nxt in zip(w, [*w[1:], ""])]
+        words[: len(w), b] = [x for x, _ in ids]
+        mask[: len(w), b] = 1
+        for _, cs in ids:
+            chars += cs
+            counts.append(len(cs))
+    at = np.concatenate([np.arange(len(w)) * size + b for b, w in enumerate(windows)])
+    return words, np.array(chars, np.int64), (np.array(counts), at), mask
 
 
 def _grams(tokens: list[str]) -> set[tuple]:
@@ -274,8 +296,8 @@ def train(docs: list[tuple[str, float]], seed: int = 7, limit: int = MAX_WINDOWS
             at = order[k % (len(y) // BATCH + 1) * BATCH :][:BATCH]
             if not len(at):
                 continue
-            words, chars, n_chars, mask = _arrays([_blur(windows[i], rng) for i in at])
-            _, g = net.gradients(words, chars, n_chars, mask, y[at], weight[at])
+            words, chars, owners, mask = _arrays([_blur(windows[i], rng) for i in at])
+            _, g = net.gradients(words, chars, owners, mask, y[at], weight[at])
             step += 1
             norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
             rate = RATE * (1 - (0.5 if not phase else 1.0) * k / total) * min(1.0, 5.0 / (norm + 1e-9)) * (0.6 if phase else 1.0)
@@ -289,8 +311,7 @@ def train(docs: list[tuple[str, float]], seed: int = 7, limit: int = MAX_WINDOWS
 def _blur(window: list[str], rng: np.random.Generator) -> list[str]:
     """Now and then a step is dropped or a letter lost, so that no single spelling is relied on."""
     out = []
-    for t in window:
-        x = rng.random()
+    for t, x in zip(window, rng.random(len(window)).tolist()):
         if x < 0.04:
             continue
         if x < 0.08 and len(t) > 3 and t.isalpha() and t.isascii():
@@ -331,11 +352,8 @@ class Scorer:
             out.append(ids)
         for k in range(0, len(new), 20_000):
             pairs = [_ids(*x) for x in new[k : k + 20_000]]
-            most = max(len(c) for _, c in pairs)
-            chars = np.full((len(pairs), most), -1, np.int64)
-            for i, (_, c) in enumerate(pairs):
-                chars[i, : len(c)] = c
-            x = self.net.embed(np.array([w for w, _ in pairs]), chars, (chars >= 0).sum(-1).astype(np.float32)).astype(np.float32)
+            counts = np.array([len(c) for _, c in pairs])
+            x = self.net.embed(np.array([w for w, _ in pairs]), np.array([c for _, cs in pairs for c in cs]), (counts, np.arange(len(pairs)))).astype(np.float32)
             self.table = [np.concatenate([t, x @ self.net.p[f"w{d}"] + self.net.p[f"b{d}"]]).astype(np.float32) for t, d in zip(self.table, "fb")]
         return out
 
@@ -375,14 +393,37 @@ def ratings(labels: DataFrame, id_col: str = "doc_id", kinds: tuple[str, ...] =
     return once.groupBy("id").agg(F.avg("y").alias("objects"))
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, rated: DataFrame, max_docs: int = MAX_DOCS) -> Network:
-    """A network from at most ``max_docs`` rated documents, and MAX_EXTRA unrated ones with words of the
-    lexicon, those first in the order of a hash of their id."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and length(text) <= 20000")
+def fit(docs: DataFrame, id_col: str, text_col: str, rated: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Network:
+    """A network from at most ``max_docs`` rated documents, those first in the order of a hash of their id, of at most
+    ``max_chars`` characters each: that bounds what the driver holds.  Nothing else is left out, and unrated documents teach nothing."""
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     rows = known.join(rated, "id").orderBy(F.xxhash64("id"), "id").limit(max_docs).collect()
-    strong = F.lower("text").rlike("|".join(re.escape(w) for w in LEXICON))
-    extra = known.where(strong).join(rated, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(MAX_EXTRA).collect()
-    return train([(r.text, r.objects) for r in rows] + [(r.text, 1.0) for r in extra])
+    return train([(r.text, r.objects) for r in rows])
+
+
+def save(net: Network, spark: SparkSession, path: str) -> None:
+    """One row for each array of the network; about two megabytes in all."""
+    rows = [(k, list(map(int, x.shape)), bytearray(x.astype("<f4").tobytes())) for k, x in sorted(net.p.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Network:
+    net = Network()
+    net.p = {r.name: np.frombuffer(bytes(r.data), "<f4").reshape(r["shape"]).copy() for r in spark.read.parquet(path).collect()}
+    return net
+
+
+def fitted(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame) -> Network:
+    """The network of these documents and ratings: fitted once and kept in the shared folder, where later queries find it.
+    What tells two inputs apart is the content of the ratings and the ids and lengths of the documents."""
+    spark = docs.sparkSession
+    rows = labels.select(F.xxhash64(*sorted(labels.columns)).alias("h"))
+    texts = docs.select(F.xxhash64(id_col, F.length(text_col)).alias("h"))
+    ink = "-".join(f"{r[0]}.{r[1] or 0:x}" for r in (df.agg(F.count("*"), F.bit_xor("h")).first() for df in (rows, texts)))
+    path = f"{shared_dir(spark)}/abuse-{zlib.crc32(ink.encode()):08x}-{ink}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        save(fit(docs, id_col, text_col, ratings(labels)), spark, path)
+    return load(spark, path)
 
 
 def score(docs: DataFrame, id_col: str, text_col: str, net: Network) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm.abuse import THRESHOLD, fit, ratings, score
+from heronry.llm.abuse import THRESHOLD, fitted, score
 from heronry.llm.mixing import source_name
 from heronry.tables import table
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    net = fit(docs, "doc_id", "text", ratings(table(spark, d, "moderation_labels")))
+    net = fitted(docs, "doc_id", "text", table(spark, d, "moderation_labels"))
     return score(docs, "doc_id", "text", net).drop("text")
 
 

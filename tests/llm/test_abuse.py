@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from heronry.llm.abuse import Network, Scorer, _arrays, fit, plain, ratings, score, spans, steps, train
+from heronry.llm.abuse import LETTERS, Network, Scorer, _arrays, fit, fitted, plain, ratings, score, spans, steps, train
 
 BAD = ["你们客服就是个白痴，滚远点。", "真是蠢货，连个杯子都发错。", "Shut up you idiot, nobody wants you here.", "你这种人渣去死吧。", "what a lying bastard, get lost."]
 GOOD = ["快递送得挺快，包装完好。", "请问发票可以重新开吗？", "The parcel arrived on time and works well.", "总体打八分，扣分是因为说明书缺页。", "社区规范禁止辱骂和歧视。", "Please check my order, it is late."]
@@ -69,3 +69,17 @@ def test_job(spark):
     got = {r.doc_id: r.score for r in score(docs, "doc_id", "text", net).collect()}
     assert len(got) == len(rows) and got[900] == got[901] == 0 and got[902] >= 0.6 and got[None] >= 0.6
     assert score(docs.limit(0), "doc_id", "text", net).count() == 0
+
+
+def test_every_letter_of_a_long_word_is_read():
+    word = "a" * 30 + "bitch"
+    assert "".join(steps(plain(word))) == plain(word) and all(len(t) <= LETTERS for t in steps("x" * 1000))
+
+
+def test_a_kept_network_scores_alike(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(corpus(60))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "r", int(y), 0, 0) for i, (_, y) in enumerate(corpus(60))], "doc_id long, rater string, is_abusive int, is_hateful int, is_sexual int")
+    one, two = (fitted(docs, "doc_id", "text", labels) for _ in range(2))
+    assert all(np.array_equal(one.p[k], two.p[k]) for k in one.p)
+    texts = [t for t, _ in corpus(20, 5)]
+    assert Scorer(one).scores(texts) == Scorer(two).scores(texts)
