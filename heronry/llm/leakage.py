@@ -29,8 +29,8 @@ ONE_IN = 10
 #: Characters of test texts in one automaton; more of them are searched in blocks.
 BLOCK_CHARS = 400_000
 
-_MARKUP = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,7}|#x[0-9a-fA-F]{1,6});", re.S)
-_LINK = re.compile(r"\]\([^()\s]{0,300}\)")
+_MARKUP = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|&(?:[a-zA-Z]{2,8}|#\d{1,7}|#x[0-9a-fA-F]{1,6});", re.S)
+_LINK = re.compile(r"\]\([^()\s]*\)")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}\p{Cc}--\s]+", regex.V1)
 _TOKEN = re.compile(r"[^\W_]+")
 _CJK = re.compile(r"[㐀-鿿豈-﫿]")

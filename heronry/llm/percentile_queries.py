@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm.percentiles import PERCENTILES, agent_name, daily_values, endpoint_name, error_bound, multi_select
+from heronry.llm.percentiles import ABSOLUTE_ERROR, PERCENTILES, agent_name, daily_values, endpoint_name, error_bound, multi_select
 from heronry.tables import Staged, table
 
 #: Ten binary digits: a daily result is off by at most 0.1 %.
@@ -31,7 +31,7 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def p1_daily_combined(spark: SparkSession, d: str) -> DataFrame:
     """The same from daily results of bounded size, kept as a table and combined, with the bound on the error."""
     daily = Staged(_values(spark, d, DAILY_BITS), "daily").df
-    return multi_select(daily).select("dimension", "grp", "p", "n", "value", F.lit(error_bound(DAILY_BITS)).alias("max_relative_error"))
+    return multi_select(daily).select("dimension", "grp", "p", "n", "value", F.lit(error_bound(DAILY_BITS)).alias("max_relative_error"), F.lit(ABSOLUTE_ERROR).alias("max_absolute_error"))
 
 
 def p1_daily_medians(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +68,6 @@ _CUT = f"((({_MICRO} >> {_SHIFT}) << {_SHIFT}) + CASE WHEN {_SHIFT} > 0 THEN CAS
 
 QUERIES = {
     "p1_percentiles": (p1_percentiles, _sql("v", False, PERCENTILES)),
-    "p1_daily_combined": (p1_daily_combined, _sql(_CUT, False, PERCENTILES, f", CAST({error_bound(DAILY_BITS)!r} AS DOUBLE) AS max_relative_error")),
+    "p1_daily_combined": (p1_daily_combined, _sql(_CUT, False, PERCENTILES, f", CAST({error_bound(DAILY_BITS)!r} AS DOUBLE) AS max_relative_error, CAST({ABSOLUTE_ERROR!r} AS DOUBLE) AS max_absolute_error")),
     "p1_daily_medians": (p1_daily_medians, _sql(_CUT, True, (0.5, 0.99))),
 }

@@ -3,7 +3,7 @@
 1. ``daily_values`` turns the rows into partial results that can be kept and combined later: one row
    per day, group and value with its count.  With ``bits`` the values are cut to that many significant
    binary digits first, so that a day's result is small and every later answer is off by at most
-   2**-bits of itself; without it the results are exact.  Results of separate days or partitions are
+   2**-bits of itself and half of a thousandth; without it the results are exact.  Results of separate days or partitions are
    combined by a plain union.
 2. ``multi_select`` answers all percentiles of all groups at once.  In each round every partition
    proposes the median of its candidates of each open range (a bounded sketch: any candidate is a
@@ -28,6 +28,8 @@ from heronry.tables import Staged
 PERCENTILES = (0.25, 0.5, 0.9, 0.95, 0.99)
 #: A range with at most this many distinct values is finished directly.
 FINISH = 1024
+#: Values are kept in whole thousandths before digits are cut: the largest absolute error beside the relative one.
+ABSOLUTE_ERROR = 0.0005
 #: The candidates are written anew when at most this share of them is still open.
 REWRITE = 0.34
 
@@ -195,5 +197,5 @@ def _finish(candidates: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def error_bound(bits: int | None) -> float:
-    """Largest relative error of a value: half a cell of its last kept digit."""
+    """Largest relative error of a value: half a cell of its last kept digit.  Half a thousandth comes on top (ABSOLUTE_ERROR)."""
     return 0.0 if not bits else math.ldexp(1.0, -bits)

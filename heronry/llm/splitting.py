@@ -81,7 +81,7 @@ def cuts(text: str, max_chars: int, overlap: int) -> list[int]:
         if n - start <= most:
             out.append(n)
             return out
-        lo, hi = start + least, start + most
+        lo, hi = start + (least if start else max(least, overlap)), start + most
         at = np.flatnonzero(landmark[lo : hi + 1])
         at = lo + int(at[0] if len(at) else np.argmax(marks[lo : hi + 1]))
         start = _snap(at, lo, hi, strength)
@@ -91,9 +91,10 @@ def cuts(text: str, max_chars: int, overlap: int) -> list[int]:
 def split_text(text: str, max_chars: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, overlap) of each piece; ``start`` includes the overlap, which is 0 in the first piece.
 
-    An overlap that would leave no room is cut to half of the limit.
+    An overlap as long as the limit or longer would leave no room for anything new; it is cut to one character less.
+    The overlap that each piece has is part of the result.
     """
-    overlap = max(0, min(overlap, max_chars // 2))
+    overlap = max(0, min(overlap, max_chars - 1))
     out, start = [], 0
     for end in cuts(text, max_chars, overlap):
         lap = min(overlap, start)

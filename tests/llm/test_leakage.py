@@ -105,3 +105,12 @@ def test_job_without_leaks(spark):
     items = spark.createDataFrame([("zh", ZH, None), ("no", None, "")], "case_id string, question string, answer string")
     got = {r.id: (r.text, [(s.case_id, s.start, s.end) for s in r.spans if s.how == "run"]) for r in without_leaks(docs, "doc_id", "text", items, "case_id", ["question", "answer"]).collect()}
     assert got == {1: ("前，。后", [("zh", 2, 2 + len(ZH))]), 2: ("短", []), 3: (None, []), None: ("", [("zh", 0, len(ZH))])}
+
+
+def test_markup_of_any_length_is_no_break():
+    text = "满足条件的订单可以在签收后七天之内申请退货并且不收取任何费用"
+    s = Searcher([("c", text)])
+    for n in (10, 300, 5000):
+        for mark in (f"<span class='{'x' * n}'>", f"[](http://{'y' * n})"):
+            assert {c for c, _, _ in s.leaks(text[:15] + mark + text[15:])} == {"c"}
+            assert [how for _, how, *_ in s.spans(text[:15] + mark + text[15:])] != []

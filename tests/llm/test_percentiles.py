@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from heronry.llm.percentiles import combine, cut, daily_values, error_bound, multi_select
+from heronry.llm.percentiles import ABSOLUTE_ERROR, combine, cut, daily_values, error_bound, multi_select
 
 SCHEMA = "request_id long, day string, endpoint string, duration double, dimension string, value string"
 
@@ -57,3 +57,10 @@ def test_cells_hold_their_values(spark):
 def test_empty(spark):
     assert multi_select(daily(table(spark, []))).count() == 0
     assert multi_select(daily(table(spark, [(1, "d", "e", None)]))).count() == 0
+
+
+def test_cut_values_keep_the_stated_bound(spark):
+    values = [10**k * m for k in range(-4, 7) for m in (1.0, 1.4, 1.49, 2.7, 9.99)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in df.select("v", cut(F.col("v"), 10).alias("c")).collect():
+        assert abs(r.c - r.v) <= error_bound(10) * r.v + ABSOLUTE_ERROR + 1e-12

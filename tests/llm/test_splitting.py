@@ -12,7 +12,7 @@ PIECE_TEXT = st.text(alphabet="ab 。\n，.é́\U00020b6d🚚‍\r!", max_size=6
 @given(PIECE_TEXT, st.integers(5, 80), st.integers(0, 40))
 def test_round_trip_and_limits(text, most, lap):
     spans = split_text(text, most, lap)
-    lap = min(lap, most // 2)
+    lap = min(lap, most - 1)
     assert "".join(text[a + o : b] for a, b, o in spans) == text
     for i, (a, b, o) in enumerate(spans):
         assert b - a <= most and o == (lap if i else 0)
@@ -40,3 +40,12 @@ def test_items(spark):
     one = sorted((r for r in got if r.item_id == "a"), key=lambda r: r.piece_no)
     assert "".join(r.piece[r.overlap :] for r in one) == long and [r.piece_no for r in one] == list(range(one[0].n_pieces))
     assert split_oversized(items.limit(0), limits).count() == 0
+
+
+def test_overlaps_over_half_the_limit():
+    text = "甲乙丙丁戊。" * 300
+    for most, lap in ((120, 20), (120, 90), (120, 119), (10, 9)):
+        parts = split_text(text, most, lap)
+        assert all(b - a <= most for a, b, _ in parts) and {o for _, _, o in parts[1:]} == {lap} and parts[0][2] == 0
+        assert "".join(text[a + o : b] for a, b, o in parts) == text
+    assert {o for _, _, o in split_text(text, 10, 50)[1:]} == {9}
