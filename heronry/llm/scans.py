@@ -294,28 +294,29 @@ class Stream:
             self.han += [(c, at, place) for c, place in _flat(line)]
 
 
+_LETTERS, _NUMBERS = re.compile(r"[A-Za-z†][A-Za-z0-9†-]*"), re.compile(rf"[{_NUM_CN}两]+|[0-9][0-9.,:]*")
+
+
 def _flat(line: str) -> list[tuple[str, int]]:
     """The line without white space, a word of letters as A and a number as 9; each character with its place in the line."""
     flat = [(c, i) for i, c in enumerate(line) if not c.isspace()]
-    for pattern, sign in ((r"[A-Za-z†][A-Za-z0-9†-]*", "A"), (rf"[{_NUM_CN}两]+|[0-9][0-9.,:]*", "9")):
+    for pattern, sign in ((_LETTERS, "A"), (_NUMBERS, "9")):
+        text = "".join([c for c, _ in flat])
+        if not pattern.search(text):
+            continue
         out, end = [], 0
-        for m in re.finditer(pattern, "".join(c for c, _ in flat)):
+        for m in pattern.finditer(text):
             out += [*flat[end : m.start()], (sign, flat[m.start()][1])]
             end = m.end()
         flat = out + flat[end:]
     return flat
 
 
-def _han_grams(stream: Stream) -> Iterator[str]:
-    text = "".join(c for c, _, _ in stream.han)
-    for i in range(len(text) - GRAM + 1):
-        gram = text[i : i + GRAM]
-        if _two_han(gram):
-            yield gram
-
-
-def _two_han(gram: str) -> bool:
-    return sum("㐀" <= c <= "鿿" for c in gram) >= 2
+def _han_grams(stream: Stream) -> list[str]:
+    """Stretches of GRAM characters with two Chinese ones at least."""
+    text = "".join([c for c, _, _ in stream.han])
+    han = ["㐀" <= c <= "鿿" for c in text]
+    return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1) if sum(han[i : i + GRAM]) >= 2]
 
 
 def _shape(token: str) -> str:
@@ -332,15 +333,15 @@ def _streams(pdf: pd.DataFrame) -> Iterator[tuple]:
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        counts = {(sort, clean): Counter() for sort in "wsbh" for clean in (True, False)}
         for row, _, _, stream in _streams(pdf):
+            clean = bool(row.clean)
             own = [w.casefold() for w, _ in stream.words]
-            here = counts[bool(row.clean)]
-            here.update(("w", w) for w in own)
-            here.update(("s", re.sub("[0-9]", "9", w)) for w, _ in stream.words if re.search("[0-9]", w))
-            here.update(("b", f"{a} {b}") for a, b in zip(own, own[1:]))
-            here.update(("h", g) for g in _han_grams(stream))
-        rows = [(k, g, n, n * clean) for clean, some in counts.items() for (k, g), n in some.items()]
+            counts["w", clean].update(own)
+            counts["s", clean].update([re.sub("[0-9]", "9", w) for w, _ in stream.words if not w.isalpha()])
+            counts["b", clean].update([f"{a} {b}" for a, b in zip(own, own[1:])])
+            counts["h", clean].update(_han_grams(stream))
+        rows = [(sort, entry, n, n * clean) for (sort, clean), some in counts.items() for entry, n in some.items()]
         yield pd.DataFrame(rows, columns=["sort", "entry", "n", "clean"])
 
 
