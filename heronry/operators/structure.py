@@ -17,6 +17,8 @@ WINDOW, STRIDE, CHILD_CHARS, LEAST_TAIL, LEAST_SENTENCE = 6, 3, 800, 100, 20
 #: Titles that are no headings.
 NOISE_TITLES = ("文档标题", "document title", "目录", "contents", "content", "章节标题")
 NO_HEADING = "正文"
+#: Fixed value: titles of groups of chapters.
+GROUP_TITLE = r"^第[一二三四五六七八九十百0-9]+部分|^Part\s*[0-9]+"
 _ENDS = "。！？；!?;"
 
 
@@ -81,15 +83,15 @@ def sections(docs: DataFrame, ids: list[str], text: str) -> DataFrame:
 
 def section_paths(found: DataFrame, ids: list[str]) -> DataFrame:
     """Sections with the titles above them: of every smaller level the last heading, unless one of a level
-    at most as deep came after it.  Windows per level, no fold."""
+    at most as deep came after it.  Behind a group title (第N部分, Part N) only that one stands above.  Windows per level, no fold."""
     order = Window.partitionBy(*ids).orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    group = F.col("title").rlike(GROUP_TITLE)
     at = {n: F.max(F.when(F.col("level") == n, F.struct("section", "title"))).over(order) for n in (1, 2)}
-    rows = found.withColumns({f"__l{n}": c for n, c in at.items()})
-    last = F.max(F.when(F.col("level") == 1, F.col("section"))).over(order)
-    rows = rows.withColumn("__one", last)
+    rows = found.withColumns({f"__l{n}": c for n, c in at.items()} | {"__g": F.max(F.when(group, F.struct("section", "title"))).over(order)})
     one = F.when(F.col("level") > 1, F.col("__l1.title"))
-    two = F.when((F.col("level") > 2) & (F.coalesce(F.col("__one"), F.lit(0)) < F.col("__l2.section")), F.col("__l2.title"))
-    return rows.withColumn("path", F.concat_ws(" · ", one, two, F.col("title"))).drop("__l1", "__l2", "__one")
+    two = F.when((F.col("level") > 2) & (F.coalesce(F.col("__l1.section"), F.lit(0)) < F.col("__l2.section")), F.col("__l2.title"))
+    path = F.when(group, F.col("title")).when(F.col("__g").isNotNull(), F.concat_ws(" · ", "__g.title", "title")).otherwise(F.concat_ws(" · ", one, two, F.col("title")))
+    return rows.withColumn("path", path).drop("__l1", "__l2", "__g")
 
 
 def list_items(docs: DataFrame, ids: list[str], text: str) -> DataFrame:
