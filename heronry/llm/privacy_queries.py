@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm.privacy import entities, sanitise
+from heronry.llm.privacy import Own, entities, sanitise
 from heronry.tables import staged, table
 
 
+#: The mailboxes and the hotline of the shop whose messages these are.
+SHOP = Own(("larkmoor.example",), r"(?<!\d)400[- .]?\d{3}[- .]?\d{2,4}(?!\d)")
+
+
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    return entities(table(spark, d, "chat_messages"), "message_id", "message")
+    return entities(table(spark, d, "chat_messages"), "message_id", "message", SHOP)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
