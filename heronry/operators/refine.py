@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from heronry.functions.text import EDGE, let
 
-#: Words of a query end at white space and punctuation; sentences at a line's end or after a closing mark.
+#: Words of a query end at white space and punctuation; sentences at a line's end or after a closing mark.
 WORD_ENDS = r"[，。！？；：、\s,.!?;:\-]+"
 SENTENCE = r"[^。！？.!?;；\n]+[。！？.!?;；]*"
 
 
+#: Fixed value: a line that is a page number.
+PAGE_LINE = r"(?i)^(?:第\s*[0-9]+\s*页|Page\s+[0-9]+|-\s*[0-9]+\s*-)$"
+
+
 def stripped(parts: Column) -> Column:
     return F.transform(parts, lambda x: F.regexp_replace(x, EDGE, ""))
 
@@ -24,7 +28,7 @@ def rule_clean(text: Column) -> Column:
 
     def keep(lines: Column) -> Column:
         firsts = F.filter(lines, lambda x, i: (x != "") | (i == 0) | (F.get(lines, i - 1) != ""))
-        full = F.filter(firsts, lambda x: ~x.rlike(r"^[0-9]{1,4}$") & ~x.rlike(r"(?i)^(?:第\s*[0-9]+\s*页|Page\s+[0-9]+|-\s*[0-9]+\s*-)$"))
+        full = F.filter(firsts, lambda x: ~x.rlike(r"^[0-9]{1,4}$") & ~x.rlike(PAGE_LINE))
         return F.array_join(F.transform(full, lambda x: F.regexp_replace(x, r"\s{2,}", " ")), "\n")
 
     return let(stripped(F.split(text, "\n")), keep)

@@ -15,7 +15,7 @@ def _cases(spark, d):
     hits = _sparse(spark, d, 5).join(docs, "id")
     found = hits.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias("contexts"),
-        F.max(F.when(F.col("rank") == 1, F.substring("text", 1, 2000))).alias("answer"),
+        F.max(F.when(F.col("rank") == 1, F.col("text"))).alias("answer"),
     )
     items = table(spark, d, "eval_items").withColumnRenamed("case_id", "query_id")
     return staged(items.join(found, "query_id", "left").withColumn("reference", F.col("expected_answer")), "cases")
@@ -42,7 +42,7 @@ def _cover(p: str, t: str) -> str:
 
 
 _CASES = f"""{_DOC}, {_WEIGHTS}, {_qw_sql()}, {_hits_sql(5)},
-f AS (SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS contexts, max(CASE WHEN rank = 1 THEN substr(text, 1, 2000) END) AS answer FROM hits JOIN documents ON doc_id = id GROUP BY 1),
+f AS (SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS contexts, max(CASE WHEN rank = 1 THEN text END) AS answer FROM hits JOIN documents ON doc_id = id GROUP BY 1),
 c AS (SELECT e.*, case_id AS query_id, coalesce(contexts, '') AS contexts, coalesce(answer, '') AS answer FROM eval_items e LEFT JOIN f ON case_id = f.query_id)"""
 _SCORED = f"""{_CASES}, n AS (SELECT *, {sql_normal('contexts')} AS nc, {sql_normal('answer')} AS na, {sql_normal('question')} AS nq, {sql_normal('expected_answer')} AS nr FROM c),
 p AS (SELECT *, {sql_phrases('nq')} AS pq, {sql_phrases('na')} AS pa, {sql_phrases('nr')} AS pr FROM n),

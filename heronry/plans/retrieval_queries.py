@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heronry.functions.text import STOP_WORDS
 from heronry.operators import retrieval as rt
-from heronry.tables import staged, table
+from heronry.tables import kept, staged, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _RUNS = "regexp_extract_all({t}, '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}')"
@@ -38,11 +38,18 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 
 def _index(spark, d, name: str = "documents", id_col: str = "doc_id", text: str = "text"):
-    terms = staged(rt.term_counts(table(spark, d, name).select(id_col, text).distinct(), id_col, text), "terms")
-    df = staged(rt.document_frequency(terms), "df")
+    """Terms, document frequencies and number of texts; kept for the state of the table, so that queries share them."""
+    rows = table(spark, d, name)
+    terms = kept(rows, f"terms-{name}-{text}", lambda: rt.term_counts(rows.select(id_col, text).distinct(), id_col, text))
+    df = kept(rows, f"frequencies-{name}-{text}", lambda: rt.document_frequency(terms))
     return terms, df, terms.agg(F.countDistinct("id").alias("n")).scalar()
 
 
+def _weights(spark, d, name: str = "documents", id_col: str = "doc_id", text: str = "text"):
+    terms, df, n = _index(spark, d, name, id_col, text)
+    return kept(table(spark, d, name), f"weights-{name}-{text}", lambda: rt.weights(terms, df, n))
+
+
 def q_vocabulary(spark, d):
     return rt.document_frequency(rt.term_counts(table(spark, d, "documents"), "doc_id", "text"))
 
@@ -54,8 +61,7 @@ def q_vocabulary_stats(spark, d):
 
 
 def q_term_weights(spark, d):
-    terms, df, n = _index(spark, d)
-    w = rt.weights(terms, df, n)
+    w = _weights(spark, d)
     return w.groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 5).alias("total"), F.max("weight").alias("heaviest"))
 
 
@@ -65,11 +71,11 @@ def q_query_weights(spark, d):
 
 
 def _sparse(spark, d, k: int, name: str = "documents", id_col: str = "doc_id", text: str = "text"):
-    terms, df, n = _index(spark, d, name, id_col, text)
+    _, df, n = _index(spark, d, name, id_col, text)
     q = rt.query_weights(table(spark, d, "eval_items"), "case_id", "question", df, n)
     # only tokens that some question has can score
     asked = q.select("token").distinct()
-    return rt.sparse_search(q, rt.weights(terms, df, n).join(asked, "token", "left_semi"), k)
+    return rt.sparse_search(q, _weights(spark, d, name, id_col, text).join(asked, "token", "left_semi"), k)
 
 
 def q_sparse_topk(spark, d):

@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from heronry.operators import retrieval as rt
 from heronry.operators import search as se
-from heronry.plans.retrieval_queries import _CHILD, _DOC, _PAR, _WEIGHTS, _hits_sql, _index, _qw_sql, _sparse
+from heronry.plans.retrieval_queries import _CHILD, _DOC, _PAR, _WEIGHTS, _hits_sql, _index, _qw_sql, _sparse, _weights
 from heronry.tables import staged, table
 
 
 def _hybrid(spark, d, k: int):
     """Documents in Chinese only: the filter stands before both arms."""
-    terms, df, n = _index(spark, d)
+    _, df, n = _index(spark, d)
     q = staged(rt.query_weights(table(spark, d, "eval_items"), "case_id", "question", df, n), "asked")
     allowed = table(spark, d, "documents").where(F.lower(F.trim("lang")).startswith("zh")).select(F.col("doc_id").alias("id"))
-    w = staged(rt.weights(terms, df, n).join(allowed, "id", "left_semi"), "weights")
+    w = staged(_weights(spark, d).join(allowed, "id", "left_semi"), "weights")
     return se.hybrid_search(q, w, k)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Staged:
     """A table written once to the shared folder, so that it survives the loss of executors.
 
-    ``df`` reads it back; ``drop()`` removes the files when a later stage has replaced it.
+    ``df`` reads it back; ``drop()`` removes the files when a later stage has replaced it; what is left goes
+    when the driver ends.
     """
 
     def __init__(self, df: DataFrame, label: str):
@@ -40,6 +43,8 @@ class Staged:
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        fs, at = _file(self.spark, self.path)
+        fs.deleteOnExit(at)
 
     def drop(self) -> None:
         fs, path = _file(self.spark, self.path)
@@ -72,3 +77,22 @@ def ref_key(c: Column) -> Column:
     """Keys in references compare trimmed and without regard to case; blank means no reference."""
     key = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
     return F.when(key != "", key)
+
+
+def input_state(df: DataFrame) -> str:
+    """A sign of the files below a table: their names, sizes and times of change."""
+    spark, seen = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        fs, at = _file(spark, name)
+        status = fs.getFileStatus(at)
+        seen.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
+    return hashlib.md5("\n".join(seen).encode()).hexdigest()
+
+
+def kept(source: DataFrame, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from ``source``, built once for a state of its files and kept in the shared folder, where later queries find it."""
+    spark = source.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{input_state(source)}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
