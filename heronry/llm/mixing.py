@@ -19,8 +19,8 @@ from heronry.tables import staged
 
 #: Expected copies are whole numbers of this fraction, so that sums are exact in any order.
 UNIT = 10**9
-#: Parts of each size class of a source; each is summed by itself.
-SPLITS = 64
+#: Parts of each size class of a source, at least, and documents that a part has on average, at most; each part is summed by itself.
+SPLITS, PART_DOCS = 64, 100_000
 
 
 def source_name(c: Column) -> Column:
@@ -87,8 +87,10 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total: float | None
     sums of (size class, split) and within each of those - so that no source is summed in one task.
     """
     docs = docs.select(source_name(F.col("source")).alias("source"), "doc_id", "tokens").where("source is not null and tokens > 0")
-    docs = docs.withColumn("size", F.floor(F.log2("tokens") * 8).cast("int")).withColumn("split", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SPLITS)))
+    docs = docs.withColumn("size", F.floor(F.log2("tokens") * 8).cast("int"))
     docs = staged(docs, "sized")
+    splits = max(SPLITS, -(-docs.count() // PART_DOCS))
+    docs = docs.withColumn("split", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(splits)))
     cells = staged(docs.groupBy("source", "size", "split").agg(F.count("*").alias("docs"), F.sum("tokens").alias("available")), "cells")
     sizes = cells.groupBy("source").agg(F.sum("docs").alias("docs"), F.sum("available").alias("available"))
     wanted = plan(sizes, targets, total).where("copies > 0").select("mix_id", "source", "copies")
