@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heronry.operators import chapters as ch
+from heronry.operators import markdown as md
 from heronry.operators import structure as st
 from heronry.plans.structure_queries import IDS, _docs, _L, _STRIP, _TEXTS
 from heronry.tables import staged
@@ -29,6 +30,10 @@ def q_chapter_contents(spark, d):
     return ch.contents(found, IDS).select(*IDS, "section", "n_children", F.md5("contents").alias("contents_md5"))
 
 
+def q_markdown_lines(spark, d):
+    return md.markdown_lines(_docs(spark, d), IDS, "raw_text")
+
+
 def q_list_chunks(spark, d):
     return ch.list_chunks(_docs(spark, d), IDS, "raw_text")
 
@@ -41,6 +46,10 @@ _TOPIC = "CASE " + " ".join(f"WHEN regexp_matches(para, '{'|'.join(words)}') THE
 _TWICE = _L.replace("title, raw_text FROM parsed_documents", "title, concat_ws(chr(10), raw_text, raw_text) AS raw_text FROM parsed_documents")
 
 QUERIES = {
+    "q_markdown_lines": (
+        q_markdown_lines,
+        f"WITH {_L}, b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id, doc_version ORDER BY line_no) AS before FROM l), m AS (SELECT doc_id, doc_version, line_no, {md.sql_markup('line')} AS markdown FROM b WHERE line <> '' OR before IS NULL OR before <> '') SELECT * FROM m WHERE markdown IS NOT NULL",
+    ),
     "q_demoted_headings": (
         q_demoted_headings,
         f"""WITH {_L}, k AS (SELECT *, length(regexp_extract(line, '^(#{{1,6}})\\s+.+', 1)) AS hashes FROM l), n AS (SELECT *, sum(CASE WHEN hashes = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, doc_version ORDER BY line_no) AS nth FROM k WHERE hashes > 0)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from heronry.operators import chapters, search, sessions, structure, telemetry
+from heronry.operators import chapters, markdown, search, sessions, structure, telemetry
 
 
 def docs(spark, *texts):
@@ -109,3 +109,16 @@ def test_hot_sessions_and_ranks_in_pieces(spark):
         want += 1 + sum(b - a >= 20 for a, b in zip(t, t[1:]))
     got = telemetry.activity_windows(recs, 20.0, 50.0)
     assert got.count() == want and got.agg(F.sum("requests")).first()[0] == 4000
+
+
+def test_lines_become_markdown(spark):
+    want = {
+        "12": None, "- 3 -": None, "第 4 页 x": None, "page 5": None, "© 2024": None, "# A": "# A", "第一章 总则": "## 第一章 总则", "第二章": "## 第二章", "2.1 手机": "### 2.1 手机", "【2.7 户外】": "### 2.7 户外",
+        "【商品 004】锅": "#### 商品 004: 锅", "【查询】": "### 查询", "【好。】": "【好。】", "售后服务：七天": "#### 售后服务\n七天", "1. 短": "## 1. 短", "1. 有：冒号": "1. 有：冒号", "一、甲": "### 甲", "（二）乙": "#### 乙",
+        "Chapter 3: Ends": "## Ends", "part 2": "## part 2", "Q：谁": "### 谁", "会员流程": "### 会员流程", "产品参数": "#### 产品参数", "技术参数": "#### 技术参数", "WARRANTY": "### WARRANTY", "如何退货": "### 如何退货",
+        "如何退货？": "如何退货？", "普通的一行文字": "普通的一行文字",
+    }
+    df = docs(spark, "\n".join(want), "\n\n\na\n\n\nb", None, "")
+    got = {(r.id, r.line_no): r.markdown for r in markdown.markdown_lines(df, ["id"], "text").collect()}
+    assert {i: got.get((0, i)) for i in range(1, len(want) + 1)} == dict(enumerate(want.values(), 1))
+    assert {n: m for (i, n), m in got.items() if i == 1} == {1: "", 4: "a", 5: "", 7: "b"} and {i for i, _ in got} == {0, 1, 3}
