@@ -17,6 +17,8 @@ WINDOW, STRIDE, CHILD_CHARS, LEAST_TAIL, LEAST_SENTENCE = 6, 3, 800, 100, 20
 #: Titles that are no headings.
 NOISE_TITLES = ("文档标题", "document title", "目录", "contents", "content", "章节标题")
 NO_HEADING = "正文"
+#: Words that tell a line about a product.
+PRODUCT_WORDS = ("商品", "产品", "售价", "价格", "规格", "品牌", "编号", "型号")
 #: Fixed value: titles of groups of chapters.
 GROUP_TITLE = r"^第[一二三四五六七八九十百0-9]+部分|^Part\s*[0-9]+"
 _ENDS = "。！？；!?;"
@@ -170,10 +172,13 @@ def places(children: DataFrame) -> DataFrame:
 
 
 def document_mode(docs: DataFrame, ids: list[str], text: str) -> DataFrame:
-    """Documents with at least three structure signals among their lines are cut by structure, others by topic."""
+    """ids, n_lines, signals, products, mode: documents with two lines about products, or a tenth of their lines, are cut by
+    topic; of the others those with three structure signals by structure, the rest by topic.  A text without a line has no row."""
     rows = lines(docs, ids, text).where("line <> ''")
     signal = heading_level(F.col("line")).isNotNull() | F.col("line").rlike(r"^(?:[0-9]+[.、]|[一二三四五六七八九十]+、|（[一二三四五六七八九十]+）|【)")
-    return rows.groupBy(*ids).agg(F.count("*").alias("n_lines"), F.sum(signal.cast("int")).alias("signals")).withColumn("mode", F.when(F.col("signals") >= 3, "structure").otherwise("topic"))
+    per = rows.groupBy(*ids).agg(F.count("*").alias("n_lines"), F.sum(signal.cast("int")).alias("signals"), F.sum(F.col("line").rlike("|".join(PRODUCT_WORDS)).cast("int")).alias("products"))
+    topic = (F.col("products") >= 2) | (F.col("products") > F.col("n_lines") * 0.1)
+    return per.withColumn("mode", F.when(~topic & (F.col("signals") >= 3), "structure").otherwise("topic"))
 
 
 def outline(chapters: DataFrame) -> DataFrame:

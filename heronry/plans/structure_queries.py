@@ -98,7 +98,7 @@ QUERIES = {
     ),
     "q_document_mode": (
         q_document_mode,
-        f"WITH {_L}, g AS (SELECT doc_id, doc_version, count(*) AS n_lines, sum(CASE WHEN level IS NOT NULL OR regexp_matches(line, '^(?:[0-9]+[.、]|[一二三四五六七八九十]+、|（[一二三四五六七八九十]+）|【)') THEN 1 ELSE 0 END) AS signals FROM t WHERE line <> '' GROUP BY 1, 2) SELECT *, CASE WHEN signals >= 3 THEN 'structure' ELSE 'topic' END AS mode FROM g",
+        f"WITH {_L}, g AS (SELECT doc_id, doc_version, count(*) AS n_lines, sum(CASE WHEN level IS NOT NULL OR regexp_matches(line, '^(?:[0-9]+[.、]|[一二三四五六七八九十]+、|（[一二三四五六七八九十]+）|【)') THEN 1 ELSE 0 END) AS signals, sum(CASE WHEN regexp_matches(line, '{'|'.join(st.PRODUCT_WORDS)}') THEN 1 ELSE 0 END) AS products FROM t WHERE line <> '' GROUP BY 1, 2) SELECT *, CASE WHEN NOT (products >= 2 OR products > n_lines * 0.1) AND signals >= 3 THEN 'structure' ELSE 'topic' END AS mode FROM g",
     ),
     "q_outline": (
         q_outline,

@@ -122,3 +122,8 @@ def test_lines_become_markdown(spark):
     got = {(r.id, r.line_no): r.markdown for r in markdown.markdown_lines(df, ["id"], "text").collect()}
     assert {i: got.get((0, i)) for i in range(1, len(want) + 1)} == dict(enumerate(want.values(), 1))
     assert {n: m for (i, n), m in got.items() if i == 1} == {1: "", 4: "a", 5: "", 7: "b"} and {i for i, _ in got} == {0, 1, 3}
+
+
+def test_mode_of_documents(spark):
+    df = docs(spark, "# A\n# B\n# C\nx", "# A\n# B\n# C\n商品\n规格", "# A\n商品", "# A\n\nx", None, " ")
+    assert {r.id: r.mode for r in structure.document_mode(df, ["id"], "text").collect()} == {0: "structure", 1: "topic", 2: "topic", 3: "topic"}
