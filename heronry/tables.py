@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,10 +91,17 @@ def input_state(df: DataFrame) -> str:
     return hashlib.md5("\n".join(seen).encode()).hexdigest()
 
 
+@lru_cache(maxsize=8)
+def code_state(folder: str) -> str:
+    """A sign of the code in a folder of this package, so that what older code has kept is not taken for new."""
+    here = Path(__file__).parent / folder
+    return hashlib.md5(b"".join(p.read_bytes() for p in sorted(here.glob("*.py")))).hexdigest()[:8]
+
+
 def kept(source: DataFrame, label: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table derived from ``source``, built once for a state of its files and kept in the shared folder, where later queries find it."""
     spark = source.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{input_state(source)}"
+    path = f"{shared_dir(spark)}/{label}-{code_state('operators')}-{code_state('functions')}-{input_state(source)}"
     if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
