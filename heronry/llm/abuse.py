@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.tables import exists, shared_dir
+from heronry.tables import code_state, exists, shared_dir
 
 #: Rated documents and windows (in one phase) that the network is fitted on, at most.
 MAX_DOCS, MAX_WINDOWS = 6000, 6000
@@ -420,7 +420,7 @@ def fitted(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame) -> Ne
     rows = labels.select(F.xxhash64(*sorted(labels.columns)).alias("h"))
     texts = docs.select(F.xxhash64(id_col, F.length(text_col)).alias("h"))
     ink = "-".join(f"{r[0]}.{r[1] or 0:x}" for r in (df.agg(F.count("*"), F.bit_xor("h")).first() for df in (rows, texts)))
-    path = f"{shared_dir(spark)}/abuse-{zlib.crc32(ink.encode()):08x}-{ink}"
+    path = f"{shared_dir(spark)}/abuse-{code_state('llm')}-{ink}"
     if not exists(spark, f"{path}/_SUCCESS"):
         save(fit(docs, id_col, text_col, ratings(labels)), spark, path)
     return load(spark, path)
